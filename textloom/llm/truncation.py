@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import cut
+
 #: A closing line ended by an ellipsis is a stock remark from this share, and this number, of different texts on.
 REMARK_SHARE, REMARK_TEXTS = 0.0005, 3
 #: Characters before the end that hold the last lines; a longer last line counts as running text.
@@ -75,11 +77,31 @@ def prefix_of_longer(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 def ends(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """`keep`, and `__line, __above`: the last line that isn't blank, and the one above it, blanks around them cut off."""
-    tail = F.regexp_replace(F.rtrim(F.right(F.col(text), F.lit(TAIL)), F.lit(" \t\r\n\u00a0")), r"[ \t\r]+\n", "\n")
-    lines = F.split(F.regexp_replace(tail, r"\n+", "\n"), "\n")
-    return df.select(*keep, lines.alias("__lines")).select(
-        *keep, F.trim(F.element_at("__lines", -1)).alias("__line"), F.when(F.size("__lines") > 1, F.trim(F.element_at("__lines", -2))).otherwise(F.lit("")).alias("__above")
+    tail = F.rtrim(F.right(F.col(text), F.lit(TAIL)), F.lit(" \t\r\n\u00a0"))
+    two = F.substring_index("__tail", "\n", -2)
+    lines = df.select(*keep, tail.alias("__tail")).withColumn("__two", two)
+    above = F.when(F.col("__two").contains("\n"), F.trim(F.substring_index("__two", "\n", 1))).otherwise(F.lit(""))
+    return lines.select(*keep, F.trim(F.substring_index("__two", "\n", -1)).alias("__line"), above.alias("__above"))
+
+
+def _signed(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """`keep, __low, sign, __finished` of the texts whose end is not plainly that of a sentence; sign is null for structured ends."""
+    last = ends(df.select(*keep, F.col(text)).where(F.col(text).isNotNull()), keep, text).where(F.col("__line") != "")
+    # The commonest ends are settled by their last characters, before any pattern is tried.
+    plain = F.right("__line", F.lit(1)).isin(".", "!", "?") & ~F.endswith("__line", F.lit("...")) & (F.length("__line") > 8)
+    rest = last.where(~plain).withColumn("__end", F.right("__line", F.lit(48)))
+    line, above, end = F.col("__line"), F.col("__above"), F.col("__end")
+    finished = end.rlike(SENTENCE_END + CLOSERS + "$") & ~line.rlike(r"^\(?\d+[.)]$")
+    signature = above.rlike(r"^-- ?$") | line.rlike(r"^[~—–] ?\S")
+    left_open = end.rlike(r"(,|;|:|\p{L}-|\(|«|“|„|¿|¡)$") & ~signature
+    sign = (
+        F.when(end.rlike(MARKS), F.lit("mark"))
+        .when(end.endswith("\ufffd"), F.lit("lost_character"))
+        .when(end.rlike(r"(\.\.\.|…)" + CLOSERS + "$"), F.lit("ellipsis"))
+        .when(~finished & (~_structured(line, above) | left_open), F.lit("open_end"))
     )
+    marked = rest.select(*keep, F.lower("__line").alias("__low"), sign.alias("sign"), finished.alias("__finished"))
+    return marked.where(F.col("sign").isNotNull() | ~F.col("__finished"))
 
 
 def find_truncated(df: DataFrame, row_id: str, text: str, source: str | None = None, prefixes: bool = True) -> DataFrame:
@@ -91,36 +113,25 @@ def find_truncated(df: DataFrame, row_id: str, text: str, source: str | None = N
     a limit. Repeated rows come out as often as they stand. An empty table gives no rows.
     """
     keep = [c for c in (row_id, source) if c]
-    last = ends(df.select(*keep, F.col(text)).where(F.col(text).isNotNull()), keep, text).where(F.col("__line") != "")
-    line, above = F.col("__line"), F.col("__above")
-    finished = line.rlike(SENTENCE_END + CLOSERS + "$") & ~line.rlike(r"^\(?\d+[.)]$")
-    signature = above.rlike(r"^-- ?$") | line.rlike(r"^[~—–] ?\S")
-    left_open = line.rlike(r"(,|;|:|\p{L}-|\(|«|“|„|¿|¡)$") & ~signature
-    sign = (
-        F.when(line.rlike(MARKS), F.lit("mark"))
-        .when(line.rlike("\ufffd$"), F.lit("lost_character"))
-        .when(line.rlike(r"(\.\.\.|…)" + CLOSERS + "$"), F.lit("ellipsis"))
-        .when(~finished & (~_structured(line, above) | left_open), F.lit("open_end"))
-    )
-    marked = last.select(*keep, F.lower("__line").alias("__low"), sign.alias("sign"), finished.alias("__finished"))
+    open_ = cut(_signed(df, keep, text))
     enough = max(REMARK_TEXTS, REMARK_SHARE * df.count())
     known = F.regexp_replace(F.regexp_replace("__low", r"[.…\s]+$", ""), r"^.*[.!?:…] ", "").isin(*REMARKS)
-    trailing = marked.where(F.col("sign") == "ellipsis")
+    trailing = open_.where(F.col("sign") == "ellipsis")
     stock = trailing.groupBy("__low").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= enough)
     cut_short = trailing.where(~known).join(stock, "__low", "left_anti").select(*keep, "sign")
-    signed = marked.where(F.col("sign") != "ellipsis").select(*keep, "sign").unionByName(cut_short)
+    signed = open_.where(F.col("sign") != "ellipsis").select(*keep, "sign").unionByName(cut_short)
     if not prefixes:
         return signed.withColumn("has_longer_copy", F.lit(None).cast("boolean"))
     longer = prefix_of_longer(df, row_id, text).distinct().select(F.col(row_id).alias("__id"), F.lit(True).alias("__l"))
-    whole = marked.where(F.col("sign").isNull() & ~F.col("__finished")).select(*keep, F.lit("longer_copy").alias("sign"))
+    whole = open_.where(F.col("sign").isNull()).select(*keep, F.lit("longer_copy").alias("sign"))
     both = signed.unionByName(whole).join(longer, F.col(row_id) == F.col("__id"), "left")
     return both.where((F.col("sign") != "longer_copy") | F.col("__l")).select(*keep, "sign", F.coalesce("__l", F.lit(False)).alias("has_longer_copy"))
 
 
 def truncation_rates(df: DataFrame, row_id: str, text: str, source: str) -> DataFrame:
     """`source, n_rows, n_truncated, share` for every source, null included."""
-    cut = find_truncated(df, row_id, text, source).groupBy(source).agg(F.count(F.lit(1)).alias("n_truncated"))
+    lost = find_truncated(df, row_id, text, source).groupBy(source).agg(F.count(F.lit(1)).alias("n_truncated"))
     rows = df.groupBy(source).agg(F.count(F.lit(1)).alias("n_rows"))
-    joined = rows.alias("r").join(cut.alias("c"), F.col(f"r.{source}").eqNullSafe(F.col(f"c.{source}")), "left")
+    joined = rows.alias("r").join(lost.alias("c"), F.col(f"r.{source}").eqNullSafe(F.col(f"c.{source}")), "left")
     n = F.coalesce("n_truncated", F.lit(0))
     return joined.select(F.col(f"r.{source}").alias(source), "n_rows", n.alias("n_truncated"), (n / F.col("n_rows")).alias("share"))
