@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import skew_queries
+from textloom.plans import evaluate_queries, search_queries, search_sql, skew_queries, text_queries
 
-FLAGSHIP = "p3_key_counts"
+FLAGSHIP = "complete"
 
-QUERIES = {**skew_queries.QUERIES}
-SQL = {**skew_queries.SQL}
+QUERIES = {**search_queries.QUERIES, **text_queries.QUERIES, **evaluate_queries.QUERIES, **skew_queries.QUERIES}
+SQL = {**search_sql.SQL, **text_queries.SQL, **evaluate_queries.SQL, **skew_queries.SQL}

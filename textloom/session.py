@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,17 +19,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A copy of `df` that no longer depends on its lineage, kept in the shared checkpoint folder.
-
-    The folder is the session's `spark.checkpoint.dir`; only a local master without that setting
-    gets a temporary folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        if not context.master.startswith("local[") and context.master != "local":
+def shared_folder(spark: SparkSession) -> str:
+    """The session's `spark.checkpoint.dir`, set here to a temporary folder only for a local master that has none."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not named and context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="textloom-"))
+    return named or context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, for files that executors write and read."""
+    return f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/textloom-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A copy of `df` that no longer depends on its lineage, kept in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
