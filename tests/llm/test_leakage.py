@@ -72,7 +72,7 @@ def test_exact_run_after_a_broken_one(spark):
 
 def test_altered_dress(spark):
     item = "Où la lumière prévue, “préfère” déjà vérifier les clés de la forêt très tôt"
-    dressed = "> OÙ LA LUMIÈRE PRÉVUE préfère -\n  déjа vérifier les clés\n> de ｌａ forêt, très tôt!"
+    dressed = "> OÙ LA LUMIÈRE PRÉVUE préfère -\n  déjа̀ vérifier les clés\n> de ｌａ forêt, très tôt!"
     q = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, item), (5, "too short")], "item_id long, text string")
     docs = spark.createDataFrame([(1, dressed), (2, None), (3, ""), (4, "x " * 60_000 + dressed), (4, dressed)], "doc_id long, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in leakage.find_leaks(docs, "doc_id", "text", q, "item_id", "text").where("run_words >= 12").collect())
