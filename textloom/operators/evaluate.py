@@ -14,9 +14,9 @@ TIE = 0.02
 PERCENTILES = (50, 75, 90, 95, 99)
 
 
-def disc(column: str, p: float) -> Column:
-    """Nearest-rank percentile of a column: the value at rank ceil(n * p / 100)."""
-    return F.expr(f"percentile_disc({p / 100}) within group (order by {column})")
+def disc(column: str, p: float, kind: str = "double") -> Column:
+    """Nearest-rank percentile of a column: the value at rank ceil(n * p / 100), as the type `kind`; never interpolated."""
+    return F.expr(f"percentile_disc({p / 100}) within group (order by {column})").cast(kind)
 
 
 def beside(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def corpus_stats(sentences: DataFrame) -> DataFrame:
     lengths = rows.select("source_path", F.length("n").alias("len"), F.size(F.filter(F.split("n", " "), lambda w: w != "")).alias("words"))
     whole = lengths.agg(
         F.countDistinct("source_path").alias("files"), F.count(F.lit(1)).alias("sentences"), F.coalesce(F.sum("len"), F.lit(0)).alias("characters"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"),
-        F.min("len").alias("length_min"), F.avg("len").alias("length_mean"), F.median("len").alias("length_median"), *[disc("len", p).alias(f"length_p{p}") for p in PERCENTILES[1:]], F.max("len").alias("length_max"),
+        F.min("len").alias("length_min"), F.avg("len").alias("length_mean"), F.median("len").alias("length_median"), *[disc("len", p, "int").alias(f"length_p{p}") for p in PERCENTILES[1:]], F.max("len").alias("length_max"),
     )
     unique = rows.select(F.explode(F.split("n", " ")).alias("w")).where("w <> ''").select("w").distinct().agg(F.count(F.lit(1)).alias("unique_words"))
     return beside(whole, unique)
@@ -45,7 +45,7 @@ def index_stats(sentences: DataFrame, sizes: list[int]) -> DataFrame:
 def structure_metrics(sentences: DataFrame, sizes: list[int]) -> DataFrame:
     """Per gram size: longest, median, p95 and p99 posting list."""
     per = search.seed_frequency(sentences, sizes)
-    return per.groupBy("gram_size").agg(F.max("frequency").alias("max_postings"), F.median("frequency").alias("median_postings"), disc("frequency", 95).alias("p95_postings"), disc("frequency", 99).alias("p99_postings"))
+    return per.groupBy("gram_size").agg(F.max("frequency").alias("max_postings"), F.median("frequency").alias("median_postings"), disc("frequency", 95, "long").alias("p95_postings"), disc("frequency", 99, "long").alias("p99_postings"))
 
 
 def trie_nodes(sentences: DataFrame) -> DataFrame:
@@ -119,8 +119,8 @@ def naive_work(queries: DataFrame, sentences: DataFrame) -> DataFrame:
 
 def work_summary(rows: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """`by + metric, mean, median, p95, max` of each metric column."""
-    long = rows.unpivot(by, metrics, "metric", "value")
-    return long.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), disc("value", 95).alias("p95"), F.max("value").alias("max"))
+    long = rows.select(*by, *[F.col(m).cast("long").alias(m) for m in metrics]).unpivot(by, metrics, "metric", "value")
+    return long.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), disc("value", 95, "long").alias("p95"), F.max("value").alias("max"))
 
 
 def by_length(queries: DataFrame, counts: DataFrame) -> DataFrame:

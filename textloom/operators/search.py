@@ -52,26 +52,20 @@ def search_naive(queries: DataFrame, sentences: DataFrame) -> DataFrame:
     return verify.verified(slices, ["query_id", "sentence_id"]).select(MATCH_COLUMNS)
 
 
+def _sized(grams: Column, size: int, shift: Column, place: str) -> Column:
+    return F.transform(grams, lambda g: F.struct(F.lit(size).alias("gram_size"), g["gram"].alias("gram"), (g["position"] + shift).alias(place)))
+
+
 def postings(sentences: DataFrame, sizes: list[int]) -> DataFrame:
     """`gram_size, gram, sentence_id, position` of all grams of the given sizes (J5, J14)."""
     cut = windows(sentences, max(sizes) - 1)
-    made = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.filter(tx.grams(F.col("text"), size), lambda g: g["position"] < F.col("starts")),
-                    lambda g, size=size: F.struct(F.lit(size).alias("gram_size"), g["gram"].alias("gram"), (g["position"] + F.col("at")).alias("position")),
-                )
-                for size in sizes
-            ]
-        )
-    )
+    made = F.flatten(F.array(*[_sized(F.filter(tx.grams(F.col("text"), size), lambda g: g["position"] < F.col("starts")), size, F.col("at"), "position") for size in sizes]))
     return cut.select("sentence_id", F.inline(made)).select("gram_size", "gram", "sentence_id", "position")
 
 
 def query_grams(queries: DataFrame, sizes: list[int]) -> DataFrame:
     """`query_id, q, gram_size, gram, query_start`."""
-    made = F.flatten(F.array(*[F.transform(tx.grams(F.col("q"), s), lambda g, s=s: F.struct(F.lit(s).alias("gram_size"), g["gram"].alias("gram"), g["position"].alias("query_start"))) for s in sizes]))
+    made = F.flatten(F.array(*[_sized(tx.grams(F.col("q"), size), size, F.lit(0), "query_start") for size in sizes]))
     return queries.select("query_id", "q", F.inline(made))
 
 

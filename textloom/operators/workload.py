@@ -105,7 +105,7 @@ def generate(sentences: DataFrame, per_category: int = 50, seed: int = 20260812)
 def frequency_probes(sentences: DataFrame, size: int = 3, percents: tuple[int, ...] = (50, 75, 90, 95, 99)) -> DataFrame:
     """`frequency_band, gram, frequency`: the gram at each nearest-rank percentile of corpus frequency, the least gram among equals, and the rarest."""
     per = search.seed_frequency(sentences, [size])
-    marks = per.agg(*[F.expr(f"percentile_disc({p / 100}) within group (order by frequency)").alias(f"p{p}") for p in percents], F.min("frequency").alias("rare"))
+    marks = per.agg(*[F.expr(f"percentile_disc({p / 100}) within group (order by frequency)").cast("long").alias(f"p{p}") for p in percents], F.min("frequency").alias("rare"))
     bands = marks.unpivot([], [*[f"p{p}" for p in percents], "rare"], "frequency_band", "frequency")
     return per.join(F.broadcast(bands), "frequency").groupBy("frequency_band", "frequency").agg(F.min("gram").alias("gram"))
 

@@ -37,7 +37,7 @@ def trie_nodes(spark, folder):
 def nearest_rank(spark, folder):
     """Percentiles of the scores of every query, never interpolated."""
     rows = table(spark, folder, "completions").where(F.col("query_id").isNotNull())
-    return rows.groupBy("query_id").agg(*[evaluate.disc("score", p).alias(f"p{p}") for p in evaluate.PERCENTILES])
+    return rows.groupBy("query_id").agg(*[evaluate.disc("score", p, "int").alias(f"p{p}") for p in evaluate.PERCENTILES])
 
 
 def _samples(spark: SparkSession, folder: str) -> DataFrame:

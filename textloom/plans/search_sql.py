@@ -92,8 +92,8 @@ SQL = {
     "anchor_pair": f"with {CORPUS}, {WORKLOAD}, {GRAMS}, {SEEDS}, {PAIRS} select query_id, gram_size, first_gram, first_start, second_gram, second_start, cost from best_pair",
     "anchor_plan": f"with {CORPUS}, {WORKLOAD}, {GRAMS}, {SEEDS}, {PAIRS} select query_id, gram_size, first_gram, first_start, second_gram, second_start, cost from plan",
     "contexts": f"""with {CORPUS}, {ASKED}, {GRAMS}, {SEEDS}, {PAIRS},
-a as (select query_id, gram_size, first_gram as gram, first_start as at from plan union all select query_id, gram_size, second_gram, second_start from plan),
-d as (select distinct a.query_id, m, sentence_id, position - at + x as match_start from a join q on q.query_id = a.query_id join g on g.gram_size = a.gram_size and g.gram = a.gram, (select unnest([-1, 0, 1]) as x) v)
+a as (select query_id, gram_size, first_gram as gram, first_start as o from plan union all select query_id, gram_size, second_gram, second_start from plan),
+d as (select distinct a.query_id, m, sentence_id, position - a.o + x as match_start from a join q on q.query_id = a.query_id join g on g.gram_size = a.gram_size and g.gram = a.gram, (select unnest([-1, 0, 1]) as x) v)
 select query_id, d.sentence_id, cast(match_start as int) as match_start, cast(m + y as int) as target_length from d join s on s.sentence_id = d.sentence_id, (select unnest([-1, 0, 1]) as y) z
 where m + y > 0 and match_start >= 0 and match_start + m + y <= length(n)""",
     "word_table": f"with {CORPUS}, {WORDS} select word, count(*) as occurrences, count(distinct sentence_id) as n_sentences from w group by word",
