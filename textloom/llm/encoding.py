@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.session import spread
+
 #: Buckets of the counts of each n-gram order.
 BITS = {1: 17, 2: 19, 3: 20}
 #: Interpolation weights of the orders 3, 2, 1; the rest is uniform.
@@ -268,7 +270,7 @@ def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train_model(df: DataFrame, text: Column) -> Model:
     """The n-gram model of all clean lines of `text`. At most the buckets of the table (1.2 million) come to the driver, packed by order."""
     rows = df.select(text.alias("__text")).where(F.col("__text").rlike("[^\\x00-\\x7f]"))
-    summed = rows.mapInPandas(_train, "order int, bucket long, n long").groupBy("order", "bucket").agg(F.sum("n").alias("n"))
+    summed = spread(rows).mapInPandas(_train, "order int, bucket long, n long").groupBy("order", "bucket").agg(F.sum("n").alias("n"))
     got = summed.toPandas()
     counts = {n: np.zeros(1 << b, np.int64) for n, b in BITS.items()}
     for n, part in got.groupby("order"):
@@ -309,4 +311,4 @@ def find_garbled(df: DataFrame, keys: list[str], text: str, model: Model | None
                 yield pdf[keys].iloc[list(at)].assign(repaired_text=fixed, n_places=np.array(n, np.int32), n_restored=np.array(restored, np.int32), chains=chains)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    return rows.mapInPandas(score, f"{schema}, repaired_text string, n_places int, n_restored int, chains string")
+    return spread(rows).mapInPandas(score, f"{schema}, repaired_text string, n_places int, n_restored int, chains string")

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import spread
+
 #: A task hands its counters on and starts anew when it holds this many terms.
 FLUSH_TERMS = 200_000
 
@@ -80,7 +82,7 @@ def term_frequencies(df: DataFrame, terms: Column) -> DataFrame:
     A row is a record; repeated rows count again. A null array, an empty one and null elements hold no term; the empty
     string is a term. An empty table gives no rows. Terms are compared exactly as stored.
     """
-    parts = df.select(terms.cast("array<string>").alias("terms")).mapInArrow(_count, "term string, occurrences long, records long")
+    parts = spread(df.select(terms.cast("array<string>").alias("terms"))).mapInArrow(_count, "term string, occurrences long, records long")
     return parts.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.canonical import _CLUSTER, _HAS_MARK, _cluster, mapping
+from textloom.session import spread
 
 #: Characters of item text that one block, and so one broadcast, holds at most (unless a single item is longer).
 BLOCK_CHARS = 20_000_000
@@ -219,6 +220,6 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
                 if got:
                     yield pd.DataFrame(got, columns=[doc_id, item_id, "run_words", "distance", "end_word"])
 
-        part = rows.mapInPandas(search, schema)
+        part = spread(rows).mapInPandas(search, schema)
         out = part if out is None else out.unionByName(part)
     return out

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import cut
+from textloom.session import cut, spread
 
 CAPACITY = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
@@ -63,7 +63,7 @@ def token_counts(df: DataFrame, doc_id: str, text: str, tokenizer: str = TOKENIZ
         for pdf in batches:
             yield pd.DataFrame({doc_id: pdf["__d"], "n_tokens": np.fromiter((size(t) if t else 0 for t in pdf["__t"]), np.int64, len(pdf))})
 
-    return rows.mapInPandas(count, f"`{doc_id}` {rows.schema['__d'].dataType.simpleString()}, n_tokens long")
+    return spread(rows).mapInPandas(count, f"`{doc_id}` {rows.schema['__d'].dataType.simpleString()}, n_tokens long")
 
 
 def assign(lengths: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> np.ndarray:

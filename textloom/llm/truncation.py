@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import cut
+from textloom.session import cut, spread
 
 #: A closing line ended by an ellipsis is a stock remark from this share, and this number, of different texts on.
 REMARK_SHARE, REMARK_TEXTS = 0.0005, 3
@@ -62,7 +62,7 @@ def prefix_of_longer(df: DataFrame, row_id: str, text: str) -> DataFrame:
     lengths. Blanks at the end don't count. Equal texts are no longer copies of each other. Null texts have no row.
     """
     stripped = F.rtrim(F.col(text), F.lit(" \t\r\n"))
-    sized = df.select(F.col(row_id).alias("__id"), stripped.alias("__t")).withColumn("__n", F.length("__t")).where(F.col("__n") >= SHORTEST)
+    sized = spread(df.select(row_id, text)).select(F.col(row_id).alias("__id"), stripped.alias("__t")).withColumn("__n", F.length("__t")).where(F.col("__n") >= SHORTEST)
     power = F.floor(F.log2(F.col("__n") + 0.5)).cast("int")
     head = lambda n: F.xxhash64(F.substring(F.col("__t"), F.lit(1), n))
     own = sized.select("__id", "__n", power.alias("__p"), F.xxhash64("__t").alias("__h"), head(_power_of_2(power)).alias("__b"))
@@ -86,7 +86,7 @@ def ends(df: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 def _signed(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """`keep, __low, sign, __finished` of the texts whose end is not plainly that of a sentence; sign is null for structured ends."""
-    last = ends(df.select(*keep, F.col(text)).where(F.col(text).isNotNull()), keep, text).where(F.col("__line") != "")
+    last = ends(spread(df.select(*keep, F.col(text))).where(F.col(text).isNotNull()), keep, text).where(F.col("__line") != "")
     # The commonest ends are settled by their last characters, before any pattern is tried.
     plain = F.right("__line", F.lit(1)).isin(".", "!", "?") & ~F.endswith("__line", F.lit("...")) & (F.length("__line") > 8)
     rest = last.where(~plain).withColumn("__end", F.right("__line", F.lit(48)))
