@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators import verify
+from textloom.session import spread
 
 #: Sentences are cut into windows of this many start positions before positions are enumerated, so that no row
 #: carries a long text through an explode.
@@ -25,48 +26,55 @@ SHORT_WORD, HYBRID_CAP = 4, 2000
 MATCH_COLUMNS = ["query_id", "sentence_id", "match_start", "edit_type", "edit_index", "correct_characters"]
 
 
-def _small(queries: DataFrame) -> DataFrame:
-    """The queries that can match, with a broadcast hint if their size, measured here, allows it."""
+def _measured(queries: DataFrame) -> tuple[DataFrame, int, int, bool]:
+    """The queries that can match, their number, the length of the longest, and whether their size allows a broadcast."""
     asked = queries.where(F.length("q") > 0).select("query_id", "q")
-    size = asked.agg(F.coalesce(F.sum(F.length("q") + 16), F.lit(0)).alias("s")).first()["s"]
-    return F.broadcast(asked) if size <= BROADCAST_CHARS else asked
+    r = asked.agg(F.coalesce(F.sum(F.length("q") + 16), F.lit(0)).alias("s"), F.coalesce(F.max(F.length("q")), F.lit(1)).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    return asked, r["n"], r["m"], r["s"] <= BROADCAST_CHARS
+
+
+def _hinted(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
 def windows(sentences: DataFrame, reach: int) -> DataFrame:
     """`sentence_id, at, text, starts`: overlapping windows; each holds `starts` start positions and `reach` characters more."""
-    rows = sentences.where(F.col("n").isNotNull() & (F.length("n") > 0)).withColumn("len", F.length("n"))
+    rows = spread(sentences.select("sentence_id", "n").where(F.length("n") > 0)).withColumn("len", F.length("n"))
     cut = rows.select("sentence_id", "n", "len", F.explode(F.sequence(F.lit(0), F.col("len") - 1, F.lit(WINDOW))).alias("at"))
     return cut.select("sentence_id", "at", F.substring("n", F.col("at") + 1, F.lit(WINDOW + reach)).alias("text"), F.least(F.lit(WINDOW), F.col("len") - F.col("at")).alias("starts"))
 
 
 def search_naive(queries: DataFrame, sentences: DataFrame) -> DataFrame:
     """Every start of every sentence. A window that holds neither half of a query is skipped before positions are enumerated."""
-    asked = _small(queries)
-    reach = asked.agg(F.coalesce(F.max(F.length("q")), F.lit(1)).alias("m")).first()["m"] + 1
+    asked, _, longest, small = _measured(queries)
+    return _scan(_hinted(asked, small), sentences, longest)
+
+
+def _scan(asked: DataFrame, sentences: DataFrame, longest: int) -> DataFrame:
     m, q, text = F.length("q"), F.col("q"), F.col("text")
     half = F.floor(m / 2).cast("int")
     possible = (m < 2) | text.contains(F.left(q, half)) | text.contains(F.substring(q, half + 1, m))
-    pairs = windows(sentences, int(reach)).join(asked, possible)
+    pairs = windows(sentences, longest + 1).join(asked, possible)
     starts = pairs.select("query_id", "q", "sentence_id", "at", "text", F.explode(F.sequence(F.lit(0), F.col("starts") - 1)).alias("p"))
     slices = starts.select("query_id", "q", "sentence_id", (F.col("at") + F.col("p")).alias("match_start"), F.substring("text", F.col("p") + 1, m + 1).alias("t"))
-    return verify.verified(slices, ["query_id", "sentence_id"]).select(MATCH_COLUMNS)
-
-
-def _sized(grams: Column, size: int, shift: Column, place: str) -> Column:
-    return F.transform(grams, lambda g: F.struct(F.lit(size).alias("gram_size"), g["gram"].alias("gram"), (g["position"] + shift).alias(place)))
+    return verify.verified(slices, ["query_id", "sentence_id"], longest).select(MATCH_COLUMNS)
 
 
 def postings(sentences: DataFrame, sizes: list[int]) -> DataFrame:
     """`gram_size, gram, sentence_id, position` of all grams of the given sizes (J5, J14)."""
     cut = windows(sentences, max(sizes) - 1)
-    made = F.flatten(F.array(*[_sized(F.filter(tx.grams(F.col("text"), size), lambda g: g["position"] < F.col("starts")), size, F.col("at"), "position") for size in sizes]))
-    return cut.select("sentence_id", F.inline(made)).select("gram_size", "gram", "sentence_id", "position")
+    places = cut.select("sentence_id", "at", "text", F.explode(F.sequence(F.lit(0), F.col("starts") - 1)).alias("p"))
+    tails = places.select("sentence_id", (F.col("at") + F.col("p")).alias("position"), F.substring("text", F.col("p") + 1, F.lit(max(sizes))).alias("tail"))
+    made = tails.select("sentence_id", "position", F.inline(F.array(*[F.struct(F.lit(s).alias("gram_size"), F.left("tail", F.lit(s)).alias("gram")) for s in sizes])))
+    return made.where(F.length("gram") == F.col("gram_size")).select("gram_size", "gram", "sentence_id", "position")
 
 
 def query_grams(queries: DataFrame, sizes: list[int]) -> DataFrame:
     """`query_id, q, gram_size, gram, query_start`."""
-    made = F.flatten(F.array(*[_sized(tx.grams(F.col("q"), size), size, F.lit(0), "query_start") for size in sizes]))
-    return queries.select("query_id", "q", F.inline(made))
+    places = queries.where(F.length("q") > 0).select("query_id", "q", F.explode(F.sequence(F.lit(0), F.length("q") - 1)).alias("query_start"))
+    made = F.array(*[F.struct(F.lit(s).alias("gram_size"), F.substring("q", F.col("query_start") + 1, F.lit(s)).alias("gram")) for s in sizes])
+    grams = places.select("query_id", "q", "query_start", F.inline(made)).where(F.length("gram") == F.col("gram_size"))
+    return grams.select("query_id", "q", "gram_size", "gram", "query_start")
 
 
 def choose_q(m: Column, q: int) -> Column:
@@ -74,33 +82,30 @@ def choose_q(m: Column, q: int) -> Column:
     return F.when(m <= 3, 1).when(m <= 5, 2).otherwise(q)
 
 
-def _slices(starts: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Texts of distinct (query_id, q, sentence_id, match_start)."""
-    at = starts.join(sentences.select("sentence_id", "n"), "sentence_id").where((F.col("match_start") >= 0) & (F.col("match_start") < F.length("n")))
-    return at.select("query_id", "q", "sentence_id", "match_start", F.substring("n", F.col("match_start") + 1, F.length("q") + 1).alias("t"))
+def _near(hits: DataFrame) -> DataFrame:
+    """`query_id, q, sentence_id, starts`: per query and sentence the distinct starts within one of (position - query_start), in one exchange."""
+    aligned = hits.groupBy("query_id", "q", "sentence_id").agg(F.collect_set(F.col("position") - F.col("query_start")).alias("ds"))
+    return aligned.select("query_id", "q", "sentence_id", F.array_distinct(F.flatten(F.transform("ds", lambda d: F.array(d - 1, d, d + 1)))).alias("starts"))
 
 
-def _near(hits: DataFrame) -> DataFrame:
-    """Distinct starts within one of (position - query_start); the alignments are made distinct before they are widened."""
-    aligned = hits.select("query_id", "q", "sentence_id", (F.col("position") - F.col("query_start")).alias("d")).distinct()
-    return aligned.select("query_id", "q", "sentence_id", F.explode(F.array(F.col("d") - 1, F.col("d"), F.col("d") + 1)).alias("match_start")).distinct()
+def _slices(near: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Texts at the starts; a sentence is joined once per query, not once per start."""
+    at = near.join(sentences.select("sentence_id", "n"), "sentence_id").select("query_id", "q", "sentence_id", "n", F.explode("starts").alias("match_start"))
+    inside = at.where((F.col("match_start") >= 0) & (F.col("match_start") < F.length("n")))
+    return inside.select("query_id", "q", "sentence_id", "match_start", F.substring("n", F.col("match_start") + 1, F.length("q") + 1).alias("t"))
 
 
 def search_qgram(queries: DataFrame, sentences: DataFrame, q: int = 3) -> DataFrame:
-    """Every gram of the query looked up, starts verified; queries shorter than two grams go to `search_naive`."""
+    """Every gram of the query looked up, starts verified; queries shorter than two grams go to the exhaustive scan."""
     if q < 2:
         raise ValueError("q is 2 or more")
-    asked = queries.where(F.length("q") > 0).select("query_id", "q").withColumn("size", choose_q(F.length("q"), q))
+    asked, _, longest, small = _measured(queries)
+    size = choose_q(F.length("q"), q)
     sizes = sorted({1, 2, q})
-    long = asked.where(F.length("q") >= 2 * F.col("size"))
-    grams = query_grams(long.select("query_id", "q"), sizes).where(F.col("gram_size") == choose_q(F.length("q"), q))
-    hits = postings(sentences, sizes).join(F.broadcast(grams) if _fits(grams) else grams, ["gram_size", "gram"])
-    found = verify.verified(_slices(_near(hits), sentences), ["query_id", "sentence_id"]).select(MATCH_COLUMNS)
-    return found.unionByName(search_naive(asked.where(F.length("q") < 2 * F.col("size")).select("query_id", "q"), sentences))
-
-
-def _fits(df: DataFrame) -> bool:
-    return df.count() * 64 <= BROADCAST_CHARS
+    grams = query_grams(asked.where(F.length("q") >= 2 * size), sizes).where(F.col("gram_size") == size)
+    hits = postings(sentences, sizes).join(_hinted(grams, small), ["gram_size", "gram"])
+    found = verify.verified(_slices(_near(hits), sentences), ["query_id", "sentence_id"], longest).select(MATCH_COLUMNS)
+    return found.unionByName(_scan(_hinted(asked.where(F.length("q") < 2 * size), small), sentences, longest))
 
 
 def seed_frequency(sentences: DataFrame, sizes: list[int]) -> DataFrame:
@@ -110,9 +115,13 @@ def seed_frequency(sentences: DataFrame, sizes: list[int]) -> DataFrame:
 
 def query_seeds(queries: DataFrame, sentences: DataFrame, sizes: list[int]) -> DataFrame:
     """`query_id, q, gram_size, gram, query_start, frequency`: all windows of the queries with their corpus frequency, 0 if absent."""
-    grams = query_grams(queries.where(F.length("q") > 0).select("query_id", "q"), sizes)
-    wanted = grams.select("gram_size", "gram").distinct()
-    counted = postings(sentences, sizes).join(F.broadcast(wanted) if _fits(wanted) else wanted, ["gram_size", "gram"], "left_semi")
+    asked, _, _, small = _measured(queries)
+    return _query_seeds(asked, sentences, sizes, small)
+
+
+def _query_seeds(asked: DataFrame, sentences: DataFrame, sizes: list[int], small: bool) -> DataFrame:
+    grams = query_grams(asked, sizes)
+    counted = postings(sentences, sizes).join(_hinted(grams.select("gram_size", "gram").distinct(), small), ["gram_size", "gram"], "left_semi")
     frequency = counted.groupBy("gram_size", "gram").agg(F.count(F.lit(1)).alias("frequency"))
     return grams.join(frequency, ["gram_size", "gram"], "left").select("query_id", "q", "gram_size", "gram", "query_start", F.coalesce("frequency", F.lit(0)).cast("long").alias("frequency"))
 
@@ -136,11 +145,15 @@ def anchor_plan(pairs: DataFrame, minimum_anchor_length: int = 2) -> DataFrame:
     return pairs.where(F.length("q") >= minimum_anchor_length).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 
 
+def _contexts(plan: DataFrame, sentences: DataFrame, sizes: list[int], small: bool) -> DataFrame:
+    """`query_id, q, sentence_id, starts` around the occurrences of both anchors; `small` if the plan, two rows a query, may be broadcast."""
+    anchors = plan.select("query_id", "q", "gram_size", F.inline(F.array(F.struct(F.col("first_gram").alias("gram"), F.col("first_start").alias("query_start")), F.struct(F.col("second_gram").alias("gram"), F.col("second_start").alias("query_start")))))
+    return _near(postings(sentences, sizes).join(_hinted(anchors, small), ["gram_size", "gram"]))
+
+
 def candidate_contexts(plan: DataFrame, sentences: DataFrame, sizes: list[int]) -> DataFrame:
     """Distinct `query_id, q, sentence_id, match_start` around the occurrences of both anchors."""
-    anchors = plan.select("query_id", "q", "gram_size", F.inline(F.array(F.struct(F.col("first_gram").alias("gram"), F.col("first_start").alias("query_start")), F.struct(F.col("second_gram").alias("gram"), F.col("second_start").alias("query_start")))))
-    hits = postings(sentences, sizes).join(F.broadcast(anchors) if _fits(anchors) else anchors, ["gram_size", "gram"])
-    return _near(hits)
+    return _contexts(plan, sentences, sizes, False).select("query_id", "q", "sentence_id", F.explode("starts").alias("match_start"))
 
 
 def context_slices(contexts: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -156,11 +169,12 @@ def search_bi_anchor(queries: DataFrame, sentences: DataFrame, sizes: tuple[int,
     sizes = sorted(set(sizes))
     if not sizes or sizes[0] < 1:
         raise ValueError("gram sizes are positive")
-    asked = queries.where(F.length("q") > 0).select("query_id", "q")
-    plan = anchor_plan(anchor_pairs(query_seeds(asked, sentences, sizes)), minimum_anchor_length)
-    found = verify.verified(_slices(candidate_contexts(plan, sentences, sizes), sentences), ["query_id", "sentence_id"]).select(MATCH_COLUMNS)
+    asked, _, longest, small = _measured(queries)
+    plan = anchor_plan(anchor_pairs(_query_seeds(asked, sentences, sizes, small)), minimum_anchor_length)
+    contexts = _contexts(plan, sentences, sizes, small)
+    found = verify.verified(_slices(contexts, sentences), ["query_id", "sentence_id"], longest).select(MATCH_COLUMNS)
     planned = F.length("q") >= max(minimum_anchor_length, 2 * sizes[0])
-    return found.unionByName(search_naive(asked.where(~planned), sentences))
+    return found.unionByName(_scan(_hinted(asked.where(~planned), small), sentences, longest))
 
 
 def words(sentences: DataFrame) -> DataFrame:
@@ -197,13 +211,14 @@ def seed_occurrences(seeds: DataFrame, sentences: DataFrame) -> DataFrame:
 
 def hybrid_candidates(queries: DataFrame, sentences: DataFrame, q: int = 3) -> DataFrame:
     """Distinct `query_id, q, word`: short words of about the query's length for short queries, else longer words that share a gram."""
-    asked = queries.where(F.length("q") > 0).select("query_id", "q")
+    asked, _, _, small = _measured(queries)
     vocabulary = words(sentences).select("word").distinct()
     m, w = F.length("q"), F.length("word")
-    short = vocabulary.where(w <= SHORT_WORD).join(_small(asked.where(m <= SHORT_WORD)), F.abs(w - m) <= 1).select("query_id", "q", "word")
+    of_length = asked.where(m <= SHORT_WORD).select("query_id", "q", F.explode(F.array(m - 1, m, m + 1)).alias("w"))
+    short = vocabulary.where(w <= SHORT_WORD).withColumn("w", w).join(_hinted(of_length, small), "w").select("query_id", "q", "word")
     grams = query_grams(asked.where(m > SHORT_WORD), [q]).select("query_id", "q", "gram").distinct()
     of_words = vocabulary.where(w > SHORT_WORD).select("word", F.inline(tx.grams(F.col("word"), q))).select("word", "gram").distinct()
-    long = of_words.join(F.broadcast(grams) if _fits(grams) else grams, "gram").select("query_id", "q", "word").distinct()
+    long = of_words.join(_hinted(grams, small), "gram").select("query_id", "q", "word").distinct()
     return short.unionByName(long)
 
 
@@ -236,8 +251,9 @@ def search_hybrid(queries: DataFrame, sentences: DataFrame, q: int = 3, cap: int
 
 def gram_votes(queries: DataFrame, sentences: DataFrame, q: int = 3) -> DataFrame:
     """`query_id, q, sentence_id, votes`: query grams that the sentence has within one place of where the query has them."""
-    grams = query_grams(queries.where(F.length("q") > 0).select("query_id", "q"), [q])
-    near = postings(sentences, [q]).join(F.broadcast(grams) if _fits(grams) else grams, ["gram_size", "gram"]).where(F.abs(F.col("position") - F.col("query_start")) <= 1)
+    asked, _, _, small = _measured(queries)
+    hits = postings(sentences, [q]).join(_hinted(query_grams(asked, [q]), small), ["gram_size", "gram"])
+    near = hits.where(F.abs(F.col("position") - F.col("query_start")) <= 1)
     return near.groupBy("query_id", "q", "sentence_id").agg(F.countDistinct("query_start").alias("votes"))
 
 

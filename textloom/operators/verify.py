@@ -83,6 +83,39 @@ def matches_at(q: Column, t: Column) -> Column:
     )
 
 
-def verified(starts: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep + match_start, edit_type, edit_index, correct_characters` from rows with `q, t, match_start`."""
-    return starts.where(may_match(F.col("q"), F.col("t"))).select(*keep, "match_start", F.inline(matches_at(F.col("q"), F.col("t"))))
+def _common_prefix(rows: DataFrame, keep: list[str], longest: int) -> DataFrame:
+    """Adds `p`, the length of the common prefix of q and t, found bit by bit, so that it stays in generated code.
+
+    `longest` is at least the length of every query.
+    """
+    rows = rows.select(*keep, "q", "t", F.lit(0).alias("p"))
+    for bit in reversed(range(max(1, longest).bit_length())):
+        to = F.col("p") + (1 << bit)
+        more = (to <= F.length("q")) & (to <= F.length("t")) & (F.left("q", to) == F.left("t", to))
+        rows = rows.select(*keep, "q", "t", F.when(more, to).otherwise(F.col("p")).alias("p"))
+    return rows
+
+
+def verified(starts: DataFrame, keep: list[str], longest: int) -> DataFrame:
+    """`keep + match_start, edit_type, edit_index, correct_characters` from rows with `q, t, match_start`; `t` as in `matches_at`.
+
+    The same rows as `matches_at` gives, in closed form. With p the common prefix, an edit can only be at p; a slot or
+    index before p is as good exactly if the characters from there to p are equal, so the valid ones end at p and begin
+    where the run of p's character begins.
+    """
+    keep = [*keep, "match_start"]
+    rows = _common_prefix(starts.where(may_match(F.col("q"), F.col("t"))), keep, longest)
+    q, t, p, m, n = F.col("q"), F.col("t"), F.col("p"), F.length("q"), F.length("t")
+    d = F.least(p, m - 1)
+    run = lambda text, at: F.length(F.rtrim(F.left(text, at + 1), F.substring(text, at + 1, F.lit(1))))
+    found = lambda ok, kind, low, high, correct: F.when(ok, F.struct(F.lit(kind).alias("edit_type"), low.cast("int").alias("low"), high.cast("int").alias("high"), correct.cast("int").alias("correct_characters")))
+    any_ = m > 0
+    kinds = F.array(
+        found(any_ & (p >= m), "exact", F.lit(0), F.lit(0), m),
+        found(any_ & (n >= m) & (p < m) & (F.substring(q, p + 2, m) == F.substring(t, p + 2, m - p - 1)), "replacement", p, p, m - 1),
+        found(any_ & (n > m) & (F.substring(t, p + 2, m + 1) == F.substring(q, p + 1, m)), "insertion", run(t, p), p, m),
+        found((m > 1) & (n >= m - 1) & (F.substring(q, d + 2, m) == F.substring(t, d + 1, m - 1 - d)), "deletion", run(q, d), d, m - 1),
+    )
+    each = rows.select(*keep, F.inline(kinds)).where(F.col("edit_type").isNotNull())
+    slots = each.select(*keep, "edit_type", F.explode(F.sequence("low", "high")).alias("i"), "correct_characters")
+    return slots.select(*keep, "edit_type", F.when(F.col("edit_type") != "exact", F.col("i")).alias("edit_index"), "correct_characters")

@@ -19,6 +19,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Input of less than this many bytes a core, in fewer files than cores, is dealt out before costly row-wise work.
+SMALL_INPUT = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, if it is small and lies in fewer files than there are cores; otherwise as it is.
+
+    One small file is one task, however much work its rows make. Large inputs already have many tasks and are never
+    shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * SMALL_INPUT or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's `spark.checkpoint.dir`, set here to a temporary folder only for a local master that has none."""
     context = spark.sparkContext
