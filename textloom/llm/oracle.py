@@ -2,6 +2,40 @@
 
 from __future__ import annotations
 
+from textloom.llm import truncation as tr
+from textloom.llm.canonical import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, HYPHENS, INVISIBLE, OTHER, OTHER_AS
+
+_BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_FROM = CYRILLIC + GREEK + OTHER + HYPHENS + _BLANKS + _WIDE + "\u2160\u2164\u2169"
+_TO = CYRILLIC_AS + GREEK_AS + OTHER_AS + "--" + " " * len(_BLANKS) + "".join(map(chr, range(0x21, 0x7F))) + "IVX"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _form(column: str) -> str:
+    """The comparison form, spelled out: invisible characters deleted, look-alikes, blanks and widths mapped, ligatures opened, accents composed."""
+    ligatures = f"regexp_replace({column}, '[{INVISIBLE}\ufe00-\ufe0f]', '', 'g')"
+    for a, b in (("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb06", "st")):
+        ligatures = f"replace({ligatures}, '{a}', '{b}')"
+    return f"nfc_normalize(translate({ligatures}, {_text(_FROM)}, {_text(_TO)}))"
+
+
+_PAIRS = f"""
+with r as (select sentence_id, original_text as t, rtrim({_form('original_text')}, ' ') as f from prepared_sentences where original_text is not null)
+select a.sentence_id as sentence_id_a, b.sentence_id as sentence_id_b from r a join r b on a.f = b.f and a.sentence_id < b.sentence_id and a.t <> b.t and a.f <> ''
+"""
+
+
+def _runs(table: str, key: str) -> str:
+    words = f"string_split(trim(regexp_replace(regexp_replace(lower({_form('text')}), '[\\p{{P}}$+<=>^`|~]', '', 'g'), '\\s+', ' ', 'g')), ' ')"
+    return f"""(select distinct {key}, array_to_string(w[i : i + 11], ' ') as run from (select {key}, {words} as w from {table} where text is not null), unnest(generate_series(1, len(w) - 11)) u(i) where len(w) >= 12)"""
+
+
+_LEAKS = f"select distinct doc_id, item_id from {_runs('documents', 'doc_id')} d join {_runs('eval_items', 'item_id')} e on d.run = e.run"
+
 _FREQUENCIES = """
 with words as (select w.word as term, sentence_id from (select sentence_id, unnest(word_positions) as w from prepared_sentences)),
 f as (
@@ -25,9 +59,42 @@ ranked as (
 """
 
 
+
+def _like(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, {_text(pattern)})"
+
+
+_STRUCTURED = " or ".join([_like("above", tr.ABOVE_SIGNATURE), *(_like("line", x) for x in tr.STRUCTURED)])
+_TRUNCATED = f"""
+with l as (
+  select doc_id, source, trim(ls[-1]) as line, case when len(ls) > 1 then trim(ls[-2]) else '' end as above, body from (
+    select doc_id, source, string_split(rtrim(right(text, {tr.TAIL}), chr(32) || chr(9) || chr(13) || chr(10) || chr(160)), chr(10)) as ls, rtrim(text, chr(32) || chr(9) || chr(13) || chr(10)) as body from documents where text is not null)
+),
+s as (
+  select *, {_like('line', tr.SENTENCE_END + tr.CLOSERS + '$')} and not {_like('line', tr.NUMBER_ONLY)} as finished,
+    case when {_like('line', tr.MARKS)} then 'mark' when ends_with(line, chr(65533)) then 'lost_character' when {_like('line', tr.ELLIPSIS)} then 'ellipsis'
+      when not ({_like('line', tr.SENTENCE_END + tr.CLOSERS + '$')} and not {_like('line', tr.NUMBER_ONLY)})
+        and (not ({_STRUCTURED}) or {_like('line', tr.LEFT_OPEN)} and not ({_like('above', tr.ABOVE_SIGNATURE)} or {_like('line', tr.SIGNATURE)})) then 'open_end' end as sign
+  from l where line <> ''
+),
+stock as (select lower(line) as low from s where sign = 'ellipsis' group by 1 having count(*) >= greatest({tr.REMARK_TEXTS}, {tr.REMARK_SHARE} * (select count(*) from documents))),
+longer as (select distinct a.doc_id from l a join l b on length(a.body) >= {tr.SHORTEST} and length(b.body) > length(a.body) and starts_with(b.body, a.body)),
+t as (
+  select doc_id, source, case when sign is null then 'longer_copy' else sign end as sign, doc_id in (select doc_id from longer) as has_longer_copy from s
+  where case when sign = 'ellipsis' then lower(line) not in (select low from stock)
+      and regexp_replace(regexp_replace(lower(line), '[.…\\s]+$', ''), '^.*[.!?:…] ', '') not in ({', '.join(map(_text, tr.REMARKS))})
+    else sign is not null or not finished and doc_id in (select doc_id from longer) end
+)
+"""
+
 SQL = {
     "p1_frequencies": _FREQUENCIES + "select field_name, term_value, occurrences, records, mark from m",
     "p1_found": _FREQUENCIES + "select field_name, term_value from m where mark is not null",
     "p5_top_records": _TOP + "select query_id, completed_sentence, source_text, line_no, score, cast(r as integer) as rank from ranked where r <= 5",
     "p5_found": _TOP + "select query_id, source_text, line_no from ranked where r <= 5",
+    "p2_found": _PAIRS,
+    "p7_found": _LEAKS,
+    "p8_found": _TRUNCATED + "select doc_id from t",
+    "p8_truncated": _TRUNCATED + "select doc_id, source, sign, has_longer_copy from t",
+    "p8_rates": _TRUNCATED + "select d.source, count(*) as n_rows, count(t.doc_id) as n_truncated, count(t.doc_id) / count(*)::double as share from documents d left join t on t.doc_id = d.doc_id group by d.source",
 }

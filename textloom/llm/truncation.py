@@ -32,21 +32,24 @@ SENTENCE_END = r"[.!?。！？؟۔׃‽]"
 CLOSERS = r"[\"'”’»›“‘\)\]\}*_]*"
 
 
-def _structured(line: Column, above: Column) -> Column:
-    """True of a last line that is whole without a full stop."""
-    return (
-        line.rlike(r"^[\*\-•–] +\S")  # an entry of a list
-        | line.rlike(r"^\|.*\|$")  # a row of a table
-        | line.rlike(r"^\(.*\)$")  # a remark in brackets
-        | line.rlike(r"^\[[^\[\]]*\]$")  # a page mark or the like
-        | line.rlike(r"^([*=\-_#~])\1{1,}.*\1{2,}$")  # a rule, an end mark
-        | line.rlike(r"^[~—–] ?\S")  # a signature
-        | line.rlike(r"^\p{L}[\p{L} ]{0,30}: ?[^\s,.;]+(, ?[^\s,.;]+)+$")  # tags
-        | line.rlike(r"^(def |class |return\b|if |for |while |import |print\b|[\w.\[\]]+ ?[-+*/]?= ?\S)")  # code
-        | line.rlike(r"[;{}]$")
-        | line.rlike(r"^(https?://|www\.)\S+$")
-        | above.rlike(r"^(-- ?|__+|—+)$")  # below a signature's line
-    )
+# Last lines that are whole without a full stop, and what stands above a signature.
+STRUCTURED = (
+    r"^[\*\-•–] +\S",  # an entry of a list
+    r"^\|.*\|$",  # a row of a table
+    r"^\(.*\)$",  # a remark in brackets
+    r"^\[[^\[\]]*\]$",  # a page mark or the like
+    r"^(\*{2,}.*\*{2,}|={2,}.*={2,}|-{2,}.*-{2,}|_{2,}.*_{2,}|#{2,}.*#{2,}|~{2,}.*~{2,})$",  # a rule, an end mark
+    r"^[~—–] ?\S",  # a signature
+    r"^\p{L}[\p{L} ]{0,30}: ?[^\s,.;]+(, ?[^\s,.;]+)+$",  # tags
+    r"^(def |class |return\b|if |for |while |import |print\b|[\w.\[\]]+ ?[-+*/]?= ?\S)",  # code
+    r"[;{}]$",
+    r"^(https?://|www\.)\S+$",
+)
+ABOVE_SIGNATURE = r"^(-- ?|__+|—+)$"
+SIGNATURE = r"^[~—–] ?\S"
+NUMBER_ONLY = r"^\(?\d+[.)]$"
+ELLIPSIS = r"(\.\.\.|…)" + CLOSERS + "$"
+LEFT_OPEN = r"(,|;|:|\p{L}-|\(|«|“|„|¿|¡)$"
 
 
 def _power_of_2(exponent: Column) -> Column:
@@ -91,14 +94,16 @@ def _signed(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     plain = F.right("__line", F.lit(1)).isin(".", "!", "?") & ~F.endswith("__line", F.lit("...")) & (F.length("__line") > 8)
     rest = last.where(~plain).withColumn("__end", F.right("__line", F.lit(48)))
     line, above, end = F.col("__line"), F.col("__above"), F.col("__end")
-    finished = end.rlike(SENTENCE_END + CLOSERS + "$") & ~line.rlike(r"^\(?\d+[.)]$")
-    signature = above.rlike(r"^-- ?$") | line.rlike(r"^[~—–] ?\S")
-    left_open = end.rlike(r"(,|;|:|\p{L}-|\(|«|“|„|¿|¡)$") & ~signature
+    finished = end.rlike(SENTENCE_END + CLOSERS + "$") & ~line.rlike(NUMBER_ONLY)
+    structured = above.rlike(ABOVE_SIGNATURE)
+    for pattern in STRUCTURED:
+        structured = structured | line.rlike(pattern)
+    left_open = end.rlike(LEFT_OPEN) & ~(above.rlike(ABOVE_SIGNATURE) | line.rlike(SIGNATURE))
     sign = (
         F.when(end.rlike(MARKS), F.lit("mark"))
         .when(end.endswith("\ufffd"), F.lit("lost_character"))
-        .when(end.rlike(r"(\.\.\.|…)" + CLOSERS + "$"), F.lit("ellipsis"))
-        .when(~finished & (~_structured(line, above) | left_open), F.lit("open_end"))
+        .when(end.rlike(ELLIPSIS), F.lit("ellipsis"))
+        .when(~finished & (~structured | left_open), F.lit("open_end"))
     )
     marked = rest.select(*keep, F.lower("__line").alias("__low"), sign.alias("sign"), finished.alias("__finished"))
     return marked.where(F.col("sign").isNotNull() | ~F.col("__finished"))
