@@ -65,6 +65,11 @@ class SearchEngine:
         self.sentences = sentences
         return self
 
+    @classmethod
+    def from_index(cls, index: dict[str, DataFrame], sizes: list[int]) -> SearchEngine:
+        """An engine over a stored index (`sources.index_store.load_index`); `sizes` are its gram sizes."""
+        return cls(lambda q, s: search.search_bi_anchor(q, s, tuple(sizes), index=index)).build(index["sentences"])
+
     def _built(self) -> DataFrame:
         if self.sentences is None:
             raise RuntimeError("build() comes first")

@@ -20,6 +20,8 @@ from textloom.session import spread
 WINDOW = 256
 #: Characters of query text up to which a table of queries is broadcast.
 BROADCAST_CHARS = 8_000_000
+#: Grams up to which a lookup in a stored index is written into the scan as a filter, so that Parquet skips the rest.
+LOOKUP_GRAMS = 4000
 #: Largest length gap of a short word, longest short word, and most results of the hybrid.
 SHORT_WORD, HYBRID_CAP = 4, 2000
 
@@ -113,28 +115,46 @@ def seed_frequency(sentences: DataFrame, sizes: list[int]) -> DataFrame:
     return postings(sentences, sizes).groupBy("gram_size", "gram").agg(F.count(F.lit(1)).alias("frequency"))
 
 
+def _lookup(stored: DataFrame, grams: DataFrame, small: bool) -> DataFrame:
+    """The rows of a stored index table for the given grams; few grams become a pushed filter, more a join."""
+    wanted = grams.select("gram_size", "gram").distinct()
+    few = wanted.limit(LOOKUP_GRAMS + 1).collect() if small else []
+    if few and len(few) <= LOOKUP_GRAMS:
+        stored = stored.where(F.col("gram_size").isin(sorted({r["gram_size"] for r in few})) & F.col("gram").isin(sorted({r["gram"] for r in few})))
+    return stored.join(_hinted(wanted, small), ["gram_size", "gram"], "left_semi")
+
+
 def query_seeds(queries: DataFrame, sentences: DataFrame, sizes: list[int]) -> DataFrame:
     """`query_id, q, gram_size, gram, query_start, frequency`: all windows of the queries with their corpus frequency, 0 if absent."""
     asked, _, _, small = _measured(queries)
     return _query_seeds(asked, sentences, sizes, small)
 
 
-def _query_seeds(asked: DataFrame, sentences: DataFrame, sizes: list[int], small: bool) -> DataFrame:
+def _query_seeds(asked: DataFrame, sentences: DataFrame, sizes: list[int], small: bool, index: dict[str, DataFrame] | None = None) -> DataFrame:
     grams = query_grams(asked, sizes)
-    counted = postings(sentences, sizes).join(_hinted(grams.select("gram_size", "gram").distinct(), small), ["gram_size", "gram"], "left_semi")
-    frequency = counted.groupBy("gram_size", "gram").agg(F.count(F.lit(1)).alias("frequency"))
+    if index:
+        frequency = _lookup(index["frequencies"], grams, small).select("gram_size", "gram", "frequency")
+    else:
+        counted = postings(sentences, sizes).join(_hinted(grams.select("gram_size", "gram").distinct(), small), ["gram_size", "gram"], "left_semi")
+        frequency = counted.groupBy("gram_size", "gram").agg(F.count(F.lit(1)).alias("frequency"))
     return grams.join(frequency, ["gram_size", "gram"], "left").select("query_id", "q", "gram_size", "gram", "query_start", F.coalesce("frequency", F.lit(0)).cast("long").alias("frequency"))
 
 
 def anchor_pairs(seeds: DataFrame) -> DataFrame:
-    """Per query and gram size the cheapest pair of windows that don't overlap: least frequency in sum, then leftmost."""
-    a = seeds.select("query_id", "q", "gram_size", F.col("gram").alias("first_gram"), F.col("query_start").alias("first_start"), F.col("frequency").alias("f1"))
-    b = seeds.select("query_id", "gram_size", F.col("gram").alias("second_gram"), F.col("query_start").alias("second_start"), F.col("frequency").alias("f2"))
-    pairs = a.join(b, ["query_id", "gram_size"]).where(F.col("first_start") + F.col("gram_size") <= F.col("second_start"))
-    ranked = pairs.withColumn("cost", F.col("f1") + F.col("f2")).groupBy("query_id", "q", "gram_size").agg(
-        F.min_by(F.struct("first_gram", "first_start", "second_gram", "second_start", "cost"), F.struct("cost", "first_start", "second_start")).alias("x")
-    )
-    return ranked.select("query_id", "q", "gram_size", "x.*")
+    """Per query and gram size the cheapest pair of windows that don't overlap: least frequency in sum, then leftmost.
+
+    One walk along the query, not a join of its windows with each other: the cheapest window that has ended so far is
+    the best partner of the window that begins here.
+    """
+    here, ends = F.col("query_start"), F.col("query_start") + F.col("gram_size")
+    window = F.struct("frequency", "query_start", "gram")
+    events = F.array(F.struct(ends.alias("at"), F.lit(0).alias("kind"), window.alias("w")), F.struct(here.alias("at"), F.lit(1).alias("kind"), window.alias("w")))
+    along = W.partitionBy("query_id", "q", "gram_size").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = seeds.select("query_id", "q", "gram_size", F.inline(events)).withColumn("first", F.min(F.when(F.col("kind") == 0, F.col("w"))).over(along))
+    pairs = rows.where((F.col("kind") == 1) & F.col("first").isNotNull())
+    cost = F.col("first.frequency") + F.col("w.frequency")
+    best = pairs.groupBy("query_id", "q", "gram_size").agg(F.min(F.struct(cost.alias("cost"), F.col("first.query_start").alias("first_start"), F.col("w.query_start").alias("second_start"), F.col("first.gram").alias("first_gram"), F.col("w.gram").alias("second_gram"))).alias("x"))
+    return best.select("query_id", "q", "gram_size", "x.first_gram", "x.first_start", "x.second_gram", "x.second_start", "x.cost")
 
 
 def anchor_plan(pairs: DataFrame, minimum_anchor_length: int = 2) -> DataFrame:
@@ -145,10 +165,13 @@ def anchor_plan(pairs: DataFrame, minimum_anchor_length: int = 2) -> DataFrame:
     return pairs.where(F.length("q") >= minimum_anchor_length).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 
 
-def _contexts(plan: DataFrame, sentences: DataFrame, sizes: list[int], small: bool) -> DataFrame:
+def _contexts(plan: DataFrame, sentences: DataFrame, sizes: list[int], small: bool, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """`query_id, q, sentence_id, starts` around the occurrences of both anchors; `small` if the plan, two rows a query, may be broadcast."""
+    if index and small:
+        plan = plan.sparkSession.createDataFrame(plan.collect(), plan.schema)  # one row a query, of queries measured as small
     anchors = plan.select("query_id", "q", "gram_size", F.inline(F.array(F.struct(F.col("first_gram").alias("gram"), F.col("first_start").alias("query_start")), F.struct(F.col("second_gram").alias("gram"), F.col("second_start").alias("query_start")))))
-    return _near(postings(sentences, sizes).join(_hinted(anchors, small), ["gram_size", "gram"]))
+    source = _lookup(index["postings"], anchors, small) if index else postings(sentences, sizes)
+    return _near(source.join(_hinted(anchors, small), ["gram_size", "gram"]))
 
 
 def candidate_contexts(plan: DataFrame, sentences: DataFrame, sizes: list[int]) -> DataFrame:
@@ -164,14 +187,17 @@ def context_slices(contexts: DataFrame, sentences: DataFrame) -> DataFrame:
     return lengths.where((F.col("target_length") > 0) & (F.col("match_start") >= 0) & (F.col("match_start") + F.col("target_length") <= F.col("len"))).select("query_id", "sentence_id", "match_start", "target_length")
 
 
-def search_bi_anchor(queries: DataFrame, sentences: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), minimum_anchor_length: int = 2) -> DataFrame:
-    """The two rarest windows of a query that don't overlap are looked up: one edit leaves one of them whole. Other queries go to `search_naive`."""
+def search_bi_anchor(queries: DataFrame, sentences: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), minimum_anchor_length: int = 2, index: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The two rarest windows of a query that don't overlap are looked up: one edit leaves one of them whole. Other queries go to the exhaustive scan.
+
+    With the `postings` and `frequencies` of a stored index (`sources.index_store`) the corpus grams aren't made again.
+    """
     sizes = sorted(set(sizes))
     if not sizes or sizes[0] < 1:
         raise ValueError("gram sizes are positive")
     asked, _, longest, small = _measured(queries)
-    plan = anchor_plan(anchor_pairs(_query_seeds(asked, sentences, sizes, small)), minimum_anchor_length)
-    contexts = _contexts(plan, sentences, sizes, small)
+    plan = anchor_plan(anchor_pairs(_query_seeds(asked, sentences, sizes, small, index)), minimum_anchor_length)
+    contexts = _contexts(plan, sentences, sizes, small, index)
     found = verify.verified(_slices(contexts, sentences), ["query_id", "sentence_id"], longest).select(MATCH_COLUMNS)
     planned = F.length("q") >= max(minimum_anchor_length, 2 * sizes[0])
     return found.unionByName(_scan(_hinted(asked.where(~planned), small), sentences, longest))

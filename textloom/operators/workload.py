@@ -120,7 +120,8 @@ def synthetic_corpus(spark: SparkSession, kind: str, n: int = 300) -> DataFrame:
     """`sentence_id, n`: a made-up corpus of `n` sentences: synthetic, repetitive, high_frequency or cross_word."""
     ids = spark.range(n).withColumnRenamed("id", "sentence_id")
     six = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
-    pick = lambda k: F.element_at(F.array(*[F.lit(x) for x in six]), (F.pmod(F.crc32(F.concat_ws(":", F.lit(k), F.col("sentence_id").cast("string")).cast("binary")), F.lit(6)) + 1).cast("int"))
+    place = lambda k: F.floor((F.col("sentence_id") + 1) * (k + 2) * 7919 / 11) % 6 + 1
+    pick = lambda k: F.element_at(F.array(*[F.lit(x) for x in six]), place(k).cast("int"))
     forms = {
         "synthetic": F.concat_ws(" ", *[pick(k) for k in range(10)]),
         "repetitive": F.when(F.col("sentence_id") % 2 == 0, F.repeat(F.lit("a"), 80)).otherwise(F.trim(F.repeat(F.lit("the "), 20))),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import evaluate, search, workload
 from textloom.plans.search_queries import asked, sentences
-from textloom.plans.search_sql import ASKED, CORPUS, GRAMS, SEARCH, VOCABULARY, WORDS
+from textloom.plans.search_sql import ASKED, CORPUS, FOUND, GRAMS, PAIRS, SEARCH, SEEDS, SQL as SEARCH_SQL, VOCABULARY, WORDS
 from textloom.session import table
 
 SIZES = [1, 2, 3]
@@ -213,6 +213,18 @@ def _disc(c: str, p: float) -> str:
     return _DISC.format(p=p / 100, c=c)
 
 
+_SIX = "['alpha', 'beta', 'gamma', 'delta', 'omega', 'sigma']"
+_SYNTHETIC = "with i as (select unnest(generate_series(0, 299)) as id), " + SEARCH.replace(
+    CORPUS,
+    f"""s as (
+  select id as sentence_id, array_to_string([{_SIX}[(id + 1) * (k + 2) * 7919 // 11 % 6 + 1] for k in generate_series(0, 9)], ' ') as n, 'synthetic' as kind from i
+  union all select id, case when id % 2 = 0 then repeat('a', 80) else trim(repeat('the ', 20)) end, 'repetitive' from i
+  union all select id, 'the common phrase number ' || id % 10, 'high_frequency' from i
+  union all select id, 'ending colour ' || id || ' ring column', 'cross_word' from i)""",
+).replace(ASKED, "q as (select *, cast(length(q) as int) as m from (values ('synthetic', 'alpha'), ('repetitive', 'aaaa'), ('high_frequency', 'common'), ('cross_word', 'ing col')) v(query_id, q))").replace("from s join q on ", "from s join q on kind = query_id and (").replace(
+    "contains(n, substring(q, m // 2 + 1))),", "contains(n, substring(q, m // 2 + 1)))),"
+) + " select query_id, count(*) as matches from e group by query_id"
+
 SQL = {
     "corpus_stats": f"""with s as (select source_path, normalized_text as n, length(normalized_text) as len from prepared_sentences where normalized_text is not null),
 w as (select unnest(string_split(n, ' ')) as word from s)
@@ -238,6 +250,15 @@ select b.length_bucket, cast(coalesce(queries, 0) as bigint) as queries, cast(co
     "by_category": """with d as (select distinct query_id, unnest(categories) as category from queries), c as (select query_id, count(*) as results from completions where query_id is not null group by 1)
 select category, count(*) as queries, cast(coalesce(sum(results), 0) as bigint) as results from d left join c on c.query_id = d.query_id group by category""",
     "signature": "select query_id, count(*) as n from completions where query_id is not null group by query_id",
+    "multiset_diff": f"""with o as (with {SEARCH} {FOUND}), a as ({SEARCH_SQL['search_hybrid']}),
+t as (select *, 1 as o, 0 as a from o union all select *, 0, 1 from a),
+k as (select query_id, sum(o) as o, sum(a) as a from t group by query_id, sentence_id, match_start, edit_type, edit_index, correct_characters)
+select query_id, cast(sum(greatest(0, o - a)) as bigint) as false_negatives, cast(sum(greatest(0, a - o)) as bigint) as false_positives, cast(sum(least(o, a)) as bigint) as common from k group by query_id""",
+    "work_reduction": f"""with {CORPUS}, {ASKED}, {GRAMS}, {SEEDS}, {PAIRS},
+l as (select query_id, m + d as l from q, (select unnest([-1, 0, 1]) as d) v where m + d > 0),
+n as (select query_id, cast(sum(greatest(0, length(n) - l + 1)) as bigint) as verifier_calls from l join s on true group by query_id)
+select plan.query_id, cost, verifier_calls, 1 - cost * 9 / verifier_calls::double as reduction from plan join n on n.query_id = plan.query_id""",
+    "synthetic_corpora": _SYNTHETIC,
     "missing_pairs": f"with {_SAMPLES}, d as (select distinct query_id from queries), a as (select unnest(['run1', 'run2']) as algorithm_id) select query_id, algorithm_id from (select d.query_id, a.algorithm_id from d join a on true) p where not exists (select 1 from x where x.query_id = p.query_id and x.algorithm_id = p.algorithm_id)",
     "merged_queries": "select normalized_query, string_agg(distinct c, '|' order by c) as categories from (select normalized_query, unnest(categories) as c from queries) t group by 1",
     "naive_work": f"with {CORPUS}, {ASKED}, l as (select query_id, m + d as l from q, (select unnest([-1, 0, 1]) as d) v where m + d > 0) select query_id, cast(sum(greatest(0, length(n) - l + 1)) as bigint) as verifier_calls from l join s on true group by query_id",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators import ranking, search, verify
-from textloom.session import table
+from textloom.session import scratch, table
+from textloom.sources import index_store
 
 SIZES = [1, 2, 3]
 
@@ -56,6 +57,13 @@ def search_bi_anchor(spark, folder):
     return search.search_bi_anchor(asked(spark, folder), sentences(spark, folder))
 
 
+def search_indexed(spark, folder):
+    """Search over an index stored in the shared folder and read back."""
+    path = scratch(spark)
+    index_store.save_index(table(spark, folder, "prepared_sentences").select("sentence_id", "original_text", "normalized_text", "source_path", "line_no"), path, SIZES)
+    return ranking.SearchEngine.from_index(index_store.load_index(spark, path, SIZES), SIZES).raw_candidates(asked(spark, folder))
+
+
 def search_hybrid(spark, folder):
     return search.search_hybrid(asked(spark, folder), sentences(spark, folder))
 
@@ -168,7 +176,7 @@ def raw_candidates(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        _matches("exact"), _matches("replacement"), _matches("insertion"), _matches("deletion"), search_naive, search_qgram, search_bi_anchor, search_hybrid, search_pinned, index_qgram, query_seeds, anchor_pair, anchor_plan,
+        _matches("exact"), _matches("replacement"), _matches("insertion"), _matches("deletion"), search_naive, search_qgram, search_bi_anchor, search_indexed, search_hybrid, search_pinned, index_qgram, query_seeds, anchor_pair, anchor_plan,
         contexts, word_table, seed_index, seed_frequency, indexed_seeds, seed_occurrences, index_hybrid, hybrid_candidates, qgram_votes, vote_select, score, best_per_record, complete, top_k, raw_candidates,
     )
 }

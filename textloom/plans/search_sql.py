@@ -69,7 +69,7 @@ cand as (
     (select word, substring(word, i + 1, 3) as gram from v, unnest(generate_series(0, length(word) - 3)) u(i) where length(word) > 4) a
     join (select query_id, q, m, substring(q, i + 1, 3) as gram from q, unnest(generate_series(0, m - 3)) u(i) where m > 4) b on a.gram = b.gram
 )"""
-FOUND = f"select query_id, sentence_id, match_start, edit_type, edit_index, correct_characters from e"
+FOUND = "select query_id, sentence_id, match_start, edit_type, edit_index, correct_characters from e"
 BEST = f"""
 best as (
   select query_id, original_text as completed_sentence, source_path as source_text, line_no, max({SCORE}) as score, min(e.sentence_id) as sentence_id
@@ -87,6 +87,7 @@ SQL = {
     "search_naive": f"with {SEARCH} {FOUND}",
     "search_qgram": f"with {SEARCH} {FOUND}",
     "search_bi_anchor": f"with {SEARCH} {FOUND}",
+    "search_indexed": f"with {SEARCH} {FOUND}",
     "index_qgram": f"with {CORPUS}, {GRAMS} select gram_size, gram, count(*) as entries, count(distinct sentence_id) as n_sentences from g group by all",
     "query_seeds": f"with {CORPUS}, {WORKLOAD}, {GRAMS}, {SEEDS} select query_id, gram_size, gram, query_start, frequency from seeds",
     "anchor_pair": f"with {CORPUS}, {WORKLOAD}, {GRAMS}, {SEEDS}, {PAIRS} select query_id, gram_size, first_gram, first_start, second_gram, second_start, cost from best_pair",
@@ -121,5 +122,6 @@ select query_id, sentence_id from (select query_id, m, sentence_id, count(distin
     "best_per_record": f"with {SEARCH}, {BEST} select query_id, completed_sentence, source_text, line_no, score, sentence_id from best",
     "complete": f"with {SEARCH}, {BEST} {_top('best')}",
     "raw_candidates": f"with {SEARCH} select query_id, edit_type, count(*) as matches, count(distinct sentence_id) as n_sentences from e group by all",
+    "search_pinned": "with " + SEARCH.replace("from prepared_sentences", "from pinned_sentences") + " " + FOUND,
     "top_k": f"""with best as (select query_id, completed_sentence, source_text, line_no, max(score) as score, min(completion_id) as sentence_id from completions where query_id is not null and score is not null group by all) {_top('best')}""",
 }

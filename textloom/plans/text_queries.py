@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -162,8 +161,7 @@ def session_stream(spark, folder):
     """The same as a stream over the events file, run to its end."""
     schema = table(spark, folder, "events").schema
     source = scratch(spark)
-    os.makedirs(source, exist_ok=True)
-    shutil.copy(os.path.join(folder, "events.parquet"), f"{source}/events.parquet")
+    table(spark, folder, "events").write.parquet(source)
     out = scratch(spark)
     stream = session.stream_prefixes(_lines(spark.readStream.schema(schema).parquet(source)))
     query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
@@ -213,6 +211,9 @@ select row_number() over (order by source_path, line_no) - 1 as sentence_id, sou
     "qgrams": "select query_id, substring(normalized_query, i + 1, 3) as gram, cast(i as int) as position from queries, unnest(generate_series(0, length(normalized_query) - 3)) u(i) where length(normalized_query) >= 3",
     "length_bucket": f"select {_ladder('length(normalized_query)', tx.LENGTH_BUCKETS)} as length_bucket, count(*) as n_queries from queries group by 1",
     "result_bucket": f"select {_ladder('n', tx.RESULT_BUCKETS)} as result_bucket, count(*) as n_queries from (select query_id, count(*) as n from completions where query_id is not null group by 1) c group by 1",
+    "repeated_words": """with v as (select distinct unnest(string_split(normalized_text, ' ')) as word from prepared_sentences),
+c as (select word, i, substring(word, i, 1) as one, substring(word, i, 2) as two from v, unnest(generate_series(1, length(word))) u(i))
+select distinct a.word from c a join c b on a.word = b.word and (a.one = b.one and b.i = a.i + 1 or length(a.two) = 2 and a.two = b.two and b.i >= a.i + 2)""",
     "mutations": """with v as (select distinct unnest(string_split(normalized_text, ' ')) as word from prepared_sentences), w as (select word, length(word) // 2 as i from v where length(word) >= 6)
 select word, 'replacement' as mutation, left(word, i) || case when substring(word, i + 1, 1) = 'x' then 'z' else 'x' end || substring(word, i + 2) as text from w
 union all select word, 'missing_character', left(word, i) || substring(word, i + 2) from w
