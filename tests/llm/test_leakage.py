@@ -31,9 +31,9 @@ WORDS = [f"word{i}" for i in range(400)]
 
 def corpus(seed):
     pick = random.Random(seed)
-    items = [(i, " ".join(pick.choice(WORDS) for _ in range(pick.randint(5, 60)))) for i in range(30)]
+    items = [(i, " ".join(pick.choice(WORDS) for _ in range(pick.randint(5, 60)))) for i in range(20)]
     docs = []
-    for d in range(200):
+    for d in range(60):
         words = [pick.choice(WORDS) for _ in range(pick.randint(0, 80))]
         if d % 2:
             own = pick.choice(items)[1].split()
