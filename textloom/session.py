@@ -5,12 +5,29 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a SparkContext, so that Python workers find it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_textloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="textloom-")) / "textloom_package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._textloom_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder."""
+    ship(spark)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
@@ -29,6 +46,7 @@ def spread(df: DataFrame) -> DataFrame:
     One small file is one task, however much work its rows make. Large inputs already have many tasks and are never
     shuffled for this.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= cores * SMALL_INPUT or len(df.inputFiles()) >= cores:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators.numbering import row_numbers
+from textloom.session import ship
 
 LOADED, INVALID, DUPLICATE = "loaded", "invalid", "duplicate"
 FILE_COLUMNS = ["file_key", "source_path", "content", "status"]
@@ -81,6 +82,7 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scan_zip(spark: SparkSession, path: str) -> DataFrame:
     """The .txt members of ZIP archives (a glob reads many at once). Line ends stay as they are; bad members have status invalid."""
+    ship(spark)
     rows = spark.read.format("binaryFile").load(path).select("path", "content")
     return rows.mapInPandas(_members, "file_key string, source_path string, content string, status string")
 

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from textloom.session import ship
+
 RESET = "#"
 
 
@@ -39,6 +41,7 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 def stream_prefixes(lines: DataFrame) -> DataFrame:
     """The same over a stream of `session string, turn long, line string`; the state is the session's prefix."""
+    ship(lines.sparkSession)
     kept = lines.select(F.col("session").cast("string").alias("session"), F.col("turn").cast("long").alias("turn"), "line")
     return kept.groupBy("session").applyInPandasWithState(_advance, "session string, turn long, prefix string", "prefix string", "append", GroupStateTimeout.NoTimeout)
 
