@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import cut, spread
+from textloom.session import cut, ship, spread
 
 CAPACITY = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
@@ -96,7 +96,7 @@ def pack_texts(sizes: DataFrame, doc_id: str, n_tokens: str, capacity: int = CAP
     Texts without tokens (0 or null) take no room and are left out. Rows that share an id are packed as several texts.
     An empty table gives no rows.
     """
-    spark = sizes.sparkSession
+    ship(sizes.sparkSession)
     rows = sizes.select(F.col(doc_id).alias("__d"), F.col(n_tokens).cast("long").alias("__n")).where(F.col("__n") > 0)
     total = rows.agg(F.sum("__n").alias("t")).first()["t"] or 0
     shards = max(1, -(-int(total) // shard_tokens))
