@@ -50,6 +50,15 @@ def test_long_texts_are_windowed(spark):
     assert rows(search.search_naive(q, s)) == want == rows(search.search_bi_anchor(q, s))
 
 
+def test_many_queries_go_in_blocks(spark, monkeypatch):
+    q, s = tables(spark, QUERIES, CORPUS)
+    want = rows(search.search_naive(q, s))
+    monkeypatch.setattr(search, "BROADCAST_CHARS", 400)
+    assert search.Asked(q).blocks > 2
+    for strategy in STRATEGIES:
+        assert rows(ranking.STRATEGIES[strategy](q, s)) == want
+
+
 def test_empty_tables(spark):
     q, s = tables(spark, ["abc", "abcdef"], CORPUS)
     for strategy in ranking.STRATEGIES.values():
@@ -95,6 +104,16 @@ def test_hybrid_sees_word_starts_only(spark):
     assert search.search_hybrid(q, s, cap=1).groupBy("query_id").count().agg(F.max("count")).first()[0] == 1
 
 
+def test_stored_index(spark, tmp_path):
+    from textloom.sources import index_store
+
+    q, s = tables(spark, QUERIES, CORPUS)
+    table = s.select("sentence_id", F.col("n").alias("original_text"), F.col("n").alias("normalized_text"), F.lit("a").alias("source_path"), F.col("sentence_id").cast("int").alias("line_no"))
+    index_store.save_index(table, str(tmp_path / "index"), [1, 2, 3])
+    index = index_store.load_index(spark, str(tmp_path / "index"), [1, 2, 3])
+    assert rows(ranking.SearchEngine.from_index(index, [1, 2, 3]).raw_candidates(q)) == rows(search.search_naive(q, s))
+
+
 def test_votes(spark):
     q, s = tables(spark, ["hello world", "zz"], CORPUS)
     votes = search.gram_votes(q, s)

@@ -28,11 +28,15 @@ SHORT_WORD, HYBRID_CAP = 4, 2000
 MATCH_COLUMNS = ["query_id", "sentence_id", "match_start", "edit_type", "edit_index", "correct_characters"]
 
 
-def _measured(queries: DataFrame) -> tuple[DataFrame, int, int, bool]:
-    """The queries that can match, their number, the length of the longest, and whether their size allows a broadcast."""
-    asked = queries.where(F.length("q") > 0).select("query_id", "q")
-    r = asked.agg(F.coalesce(F.sum(F.length("q") + 16), F.lit(0)).alias("s"), F.coalesce(F.max(F.length("q")), F.lit(1)).alias("m"), F.count(F.lit(1)).alias("n")).first()
-    return asked, r["n"], r["m"], r["s"] <= BROADCAST_CHARS
+class Asked:
+    """The queries that can match, their number, the length of the longest, and the blocks to broadcast them in."""
+
+    def __init__(self, queries: DataFrame) -> None:
+        self.rows = queries.where(F.length("q") > 0).select("query_id", "q")
+        r = self.rows.agg(F.coalesce(F.sum(F.length("q") + 16), F.lit(0)).alias("s"), F.coalesce(F.max(F.length("q")), F.lit(1)).alias("m")).first()
+        self.longest: int = r["m"]
+        self.blocks: int = max(1, -(-r["s"] // BROADCAST_CHARS))
+        self.small: bool = self.blocks == 1
 
 
 def _hinted(df: DataFrame, small: bool) -> DataFrame:
@@ -48,11 +52,21 @@ def windows(sentences: DataFrame, reach: int) -> DataFrame:
 
 def search_naive(queries: DataFrame, sentences: DataFrame) -> DataFrame:
     """Every start of every sentence. A window that holds neither half of a query is skipped before positions are enumerated."""
-    asked, _, longest, small = _measured(queries)
-    return _scan(_hinted(asked, small), sentences, longest)
+    asked = Asked(queries)
+    return _scan(asked.rows, sentences, asked)
+
+
+def _scan(rows: DataFrame, sentences: DataFrame, asked: Asked) -> DataFrame:
+    """All starts of all sentences for the queries `rows`, a block of them at a time, so that each block can be broadcast."""
+    out = None
+    for b in range(asked.blocks):
+        block = rows if asked.small else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(asked.blocks)) == b)
+        part = _scan_block(F.broadcast(block), sentences, asked.longest)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def _scan(asked: DataFrame, sentences: DataFrame, longest: int) -> DataFrame:
+def _scan_block(asked: DataFrame, sentences: DataFrame, longest: int) -> DataFrame:
     m, q, text = F.length("q"), F.col("q"), F.col("text")
     half = F.floor(m / 2).cast("int")
     possible = (m < 2) | text.contains(F.left(q, half)) | text.contains(F.substring(q, half + 1, m))
@@ -101,13 +115,13 @@ def search_qgram(queries: DataFrame, sentences: DataFrame, q: int = 3) -> DataFr
     """Every gram of the query looked up, starts verified; queries shorter than two grams go to the exhaustive scan."""
     if q < 2:
         raise ValueError("q is 2 or more")
-    asked, _, longest, small = _measured(queries)
+    asked = Asked(queries)
     size = choose_q(F.length("q"), q)
     sizes = sorted({1, 2, q})
-    grams = query_grams(asked.where(F.length("q") >= 2 * size), sizes).where(F.col("gram_size") == size)
-    hits = postings(sentences, sizes).join(_hinted(grams, small), ["gram_size", "gram"])
-    found = verify.verified(_slices(_near(hits), sentences), ["query_id", "sentence_id"], longest).select(MATCH_COLUMNS)
-    return found.unionByName(_scan(_hinted(asked.where(F.length("q") < 2 * size), small), sentences, longest))
+    grams = query_grams(asked.rows.where(F.length("q") >= 2 * size), sizes).where(F.col("gram_size") == size)
+    hits = postings(sentences, sizes).join(_hinted(grams, asked.small), ["gram_size", "gram"])
+    found = verify.verified(_slices(_near(hits), sentences), ["query_id", "sentence_id"], asked.longest).select(MATCH_COLUMNS)
+    return found.unionByName(_scan(asked.rows.where(F.length("q") < 2 * size), sentences, asked))
 
 
 def seed_frequency(sentences: DataFrame, sizes: list[int]) -> DataFrame:
@@ -126,8 +140,8 @@ def _lookup(stored: DataFrame, grams: DataFrame, small: bool) -> DataFrame:
 
 def query_seeds(queries: DataFrame, sentences: DataFrame, sizes: list[int]) -> DataFrame:
     """`query_id, q, gram_size, gram, query_start, frequency`: all windows of the queries with their corpus frequency, 0 if absent."""
-    asked, _, _, small = _measured(queries)
-    return _query_seeds(asked, sentences, sizes, small)
+    asked = Asked(queries)
+    return _query_seeds(asked.rows, sentences, sizes, asked.small)
 
 
 def _query_seeds(asked: DataFrame, sentences: DataFrame, sizes: list[int], small: bool, index: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -195,12 +209,12 @@ def search_bi_anchor(queries: DataFrame, sentences: DataFrame, sizes: tuple[int,
     sizes = sorted(set(sizes))
     if not sizes or sizes[0] < 1:
         raise ValueError("gram sizes are positive")
-    asked, _, longest, small = _measured(queries)
-    plan = anchor_plan(anchor_pairs(_query_seeds(asked, sentences, sizes, small, index)), minimum_anchor_length)
-    contexts = _contexts(plan, sentences, sizes, small, index)
-    found = verify.verified(_slices(contexts, sentences), ["query_id", "sentence_id"], longest).select(MATCH_COLUMNS)
+    asked = Asked(queries)
+    plan = anchor_plan(anchor_pairs(_query_seeds(asked.rows, sentences, sizes, asked.small, index)), minimum_anchor_length)
+    contexts = _contexts(plan, sentences, sizes, asked.small, index)
+    found = verify.verified(_slices(contexts, sentences), ["query_id", "sentence_id"], asked.longest).select(MATCH_COLUMNS)
     planned = F.length("q") >= max(minimum_anchor_length, 2 * sizes[0])
-    return found.unionByName(_scan(_hinted(asked.where(~planned), small), sentences, longest))
+    return found.unionByName(_scan(asked.rows.where(~planned), sentences, asked))
 
 
 def words(sentences: DataFrame) -> DataFrame:
@@ -237,14 +251,14 @@ def seed_occurrences(seeds: DataFrame, sentences: DataFrame) -> DataFrame:
 
 def hybrid_candidates(queries: DataFrame, sentences: DataFrame, q: int = 3) -> DataFrame:
     """Distinct `query_id, q, word`: short words of about the query's length for short queries, else longer words that share a gram."""
-    asked, _, _, small = _measured(queries)
+    asked = Asked(queries)
     vocabulary = words(sentences).select("word").distinct()
     m, w = F.length("q"), F.length("word")
-    of_length = asked.where(m <= SHORT_WORD).select("query_id", "q", F.explode(F.array(m - 1, m, m + 1)).alias("w"))
-    short = vocabulary.where(w <= SHORT_WORD).withColumn("w", w).join(_hinted(of_length, small), "w").select("query_id", "q", "word")
-    grams = query_grams(asked.where(m > SHORT_WORD), [q]).select("query_id", "q", "gram").distinct()
+    of_length = asked.rows.where(m <= SHORT_WORD).select("query_id", "q", F.explode(F.array(m - 1, m, m + 1)).alias("w"))
+    short = vocabulary.where(w <= SHORT_WORD).withColumn("w", w).join(_hinted(of_length, asked.small), "w").select("query_id", "q", "word")
+    grams = query_grams(asked.rows.where(m > SHORT_WORD), [q]).select("query_id", "q", "gram").distinct()
     of_words = vocabulary.where(w > SHORT_WORD).select("word", F.inline(tx.grams(F.col("word"), q))).select("word", "gram").distinct()
-    long = of_words.join(_hinted(grams, small), "gram").select("query_id", "q", "word").distinct()
+    long = of_words.join(_hinted(grams, asked.small), "gram").select("query_id", "q", "word").distinct()
     return short.unionByName(long)
 
 
@@ -277,8 +291,8 @@ def search_hybrid(queries: DataFrame, sentences: DataFrame, q: int = 3, cap: int
 
 def gram_votes(queries: DataFrame, sentences: DataFrame, q: int = 3) -> DataFrame:
     """`query_id, q, sentence_id, votes`: query grams that the sentence has within one place of where the query has them."""
-    asked, _, _, small = _measured(queries)
-    hits = postings(sentences, [q]).join(_hinted(query_grams(asked, [q]), small), ["gram_size", "gram"])
+    asked = Asked(queries)
+    hits = postings(sentences, [q]).join(_hinted(query_grams(asked.rows, [q]), asked.small), ["gram_size", "gram"])
     near = hits.where(F.abs(F.col("position") - F.col("query_start")) <= 1)
     return near.groupBy("query_id", "q", "sentence_id").agg(F.countDistinct("query_start").alias("votes"))
 

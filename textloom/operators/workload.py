@@ -5,7 +5,6 @@ from __future__ import annotations
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
@@ -19,9 +18,16 @@ def draw(key: Column, seed: int) -> Column:
 
 
 def stratified_order(df: DataFrame, source: str, row_id: str, seed: int = 20260812) -> DataFrame:
-    """Adds `turn` (the row's number within its source) and `source_draw`: ordered by both, sources take turns."""
-    own = W.partitionBy(source).orderBy(draw(F.col(row_id), seed), row_id)
-    return df.withColumn("turn", F.row_number().over(own)).withColumn("source_draw", draw(F.col(source), seed))
+    """Adds `turn` (the row's number within its source) and `source_draw`: ordered by both, sources take turns.
+
+    Rows are numbered over all sources at once, by range, and each source's first number is taken off, so that a source
+    with most of the rows isn't sorted by one task.
+    """
+    drawn = df.withColumn("__draw", draw(F.col(row_id), seed)).withColumn("source_draw", draw(F.col(source), seed))
+    numbered = row_numbers(drawn, [source, "__draw", row_id], "__n")
+    first = numbered.groupBy(F.col(source).alias("__source")).agg(F.min("__n").alias("__first"))
+    joined = numbered.join(first, F.col(source).eqNullSafe(F.col("__source")))
+    return joined.withColumn("turn", (F.col("__n") - F.col("__first") + 1).cast("int")).drop("__draw", "__n", "__first", "__source")
 
 
 def _cut(df: DataFrame, keys: list[str], n: int) -> DataFrame:
