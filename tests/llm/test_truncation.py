@@ -30,6 +30,13 @@ def test_stock_remarks_are_learned(spark):
     assert [r["id"] for r in truncation.find_truncated(df, "id", "text").collect()] == [5]
 
 
+def test_copies_of_a_cut_text_are_no_stock_remark(spark):
+    rows = ["Since the release, cursors store…"] * 40 + [f"Sentence {i}.\nDas war noch nicht alles…" for i in range(5)] + ["Another one."] * 60
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    got = truncation.find_truncated(df, "id", "text").collect()
+    assert sorted(r["id"] for r in got) == list(range(40)) and {r["sign"] for r in got} == {"ellipsis"}
+
+
 def test_prefixes_equal_brute_force(spark):
     pick = random.Random(11)
     base = ["".join(pick.choice("ab cé") for _ in range(pick.randint(20, 300))).strip() for _ in range(12)]

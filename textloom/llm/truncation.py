@@ -88,8 +88,9 @@ def ends(df: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 
 def _signed(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """`keep, __low, sign, __finished` of the texts whose end is not plainly that of a sentence; sign is null for structured ends."""
-    last = ends(spread(df.select(*keep, F.col(text))).where(F.col(text).isNotNull()), keep, text).where(F.col("__line") != "")
+    """`keep, __h, __low, sign, __finished` of the texts whose end is not plainly that of a sentence; `__h` hashes the whole text; sign is null for structured ends."""
+    rows = spread(df.select(*keep, F.col(text))).where(F.col(text).isNotNull()).withColumn("__h", F.xxhash64(text))
+    last = ends(rows, [*keep, "__h"], text).where(F.col("__line") != "")
     # The commonest ends are settled by their last characters, before any pattern is tried.
     plain = F.right("__line", F.lit(1)).isin(".", "!", "?") & ~F.endswith("__line", F.lit("...")) & (F.length("__line") > 8)
     rest = last.where(~plain).withColumn("__end", F.right("__line", F.lit(48)))
@@ -105,7 +106,7 @@ def _signed(df: DataFrame, keep: list[str], text: str) -> DataFrame:
         .when(end.rlike(ELLIPSIS), F.lit("ellipsis"))
         .when(~finished & (~structured | left_open), F.lit("open_end"))
     )
-    marked = rest.select(*keep, F.lower("__line").alias("__low"), sign.alias("sign"), finished.alias("__finished"))
+    marked = rest.select(*keep, "__h", F.lower("__line").alias("__low"), sign.alias("sign"), finished.alias("__finished"))
     return marked.where(F.col("sign").isNotNull() | ~F.col("__finished"))
 
 
@@ -119,10 +120,10 @@ def find_truncated(df: DataFrame, row_id: str, text: str, source: str | None = N
     """
     keep = [c for c in (row_id, source) if c]
     open_ = cut(_signed(df, keep, text))
-    enough = max(REMARK_TEXTS, REMARK_SHARE * df.count())
+    enough = max(REMARK_TEXTS, REMARK_SHARE * df.where(F.col(text).isNotNull()).select(F.xxhash64(text)).distinct().count())
     known = F.regexp_replace(F.regexp_replace("__low", r"[.…\s]+$", ""), r"^.*[.!?:…] ", "").isin(*REMARKS)
     trailing = open_.where(F.col("sign") == "ellipsis")
-    stock = trailing.groupBy("__low").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= enough)
+    stock = trailing.select("__low", "__h").distinct().groupBy("__low").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= enough)
     cut_short = trailing.where(~known).join(stock, "__low", "left_anti").select(*keep, "sign")
     signed = open_.where(F.col("sign") != "ellipsis").select(*keep, "sign").unionByName(cut_short)
     if not prefixes:
