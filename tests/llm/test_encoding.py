@@ -92,6 +92,14 @@ def test_trained_on_a_table(spark):
     assert [r["id"] for r in encoding.find_garbled(df, ["id"], "text").collect()] == [800]
 
 
+def test_copies_of_a_garbled_line_are_found(spark):
+    bad = "für den Schlüssel über größere Kanäle".encode("cp1252").decode("cp850")
+    clean = lines(5, 800)
+    df = spark.createDataFrame(list(enumerate([*clean, *[bad] * 400, "один " + "Нельзя хранить".encode("koi8-r").decode("cp1251")])), "id long, text string").repartition(3)
+    got = {r["id"] for r in encoding.find_garbled(df, ["id"], "text").collect()}
+    assert set(range(800, 1200)) <= got and len([i for i in got if i < 800]) <= 2
+
+
 def test_hashes_agree():
     text = "aé�😀b"
     for n in encoding.BITS:

@@ -9,7 +9,9 @@ with the first and decodes with the second, up to `DEPTH` times for text that wa
 no codec can give back (U+FFFD, C1 controls) make a place garbled even if no chain fits.
 
 The model is a table of n-gram counts hashed into a fixed number of buckets, so its size doesn't depend on the data.
-It is counted over all clean records, in one pass; a second pass scores. Nothing is shuffled but bucket counts.
+It is counted over the different lines, so copies of a garbled line don't make it usual; a second pass leaves out the
+lines that the first model would repair; a third scores. A line is scored without its own counts, else a line that is
+garbled in its own way would be likely by itself. The different lines outside ASCII and bucket counts are shuffled.
 """
 
 from __future__ import annotations
@@ -17,15 +19,18 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.session import spread
+from textloom.llm.canonical import CYRILLIC, GREEK, OTHER
+from textloom.session import cut, spread
 
 #: Buckets of the counts of each n-gram order.
 BITS = {1: 17, 2: 19, 3: 20}
@@ -36,8 +41,6 @@ UNIFORM = (1 - sum(WEIGHTS)) / 100_000
 MARGIN_UTF8, MARGIN_BYTE = 3.0, 3.0
 #: A repair of single bytes must consist of trigrams whose likelihood is at least this on average.
 PLAUSIBLE = -5.5
-#: Places whose every trigram is likelier than this aren't tried.
-USUAL = -4.0
 DEPTH = 3
 
 # Codecs that text was wrongly decoded with, where the text was UTF-8.
@@ -50,6 +53,8 @@ BYTE_PAIRS = (
 )
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
+#: Letters of another script and blanks that show as ASCII does (problem 2): rare, but not garbled.
+_SHOWN_ALIKE = frozenset(CYRILLIC + GREEK + OTHER + "\u00a0\u2007\u2009\u202f\u3000")
 _LOST = re.compile("[�\x80-\x9f]")
 
 
@@ -146,40 +151,57 @@ class Model:
     def __init__(self, counts: dict[int, np.ndarray]) -> None:
         self.counts = counts
         self.total = max(1, int(counts[1].sum()))
-        self.memo: dict[tuple[str, str, str], tuple[str, str, bool] | None] = {}
-        self.known: dict[str, float] = {}
+        self.memo: dict[tuple, tuple[str, str, bool] | None] = {}
+        self.known: dict[object, float] = {}
+        self.tried: dict[str, list[tuple[str, str, float]]] = {}
 
     @classmethod
     def of(cls, lines: list[str]) -> Model:
         return cls(count_ngrams([x for x in lines if is_clean(x)]))
 
-    def _likelihood(self, gram: str) -> float:
-        """Log-likelihood of the last of three characters after the other two."""
+    def _likelihood(self, gram: str, less: tuple[int, ...] = (0,) * 5) -> float:
+        """Log-likelihood of the last of three characters after the other two; `less` is taken off the counts."""
         a, b, c = map(ord, gram)
         count = self.counts
-        c3, c2, c2b, c1, c1b = (int(count[len(x)][_bucket(x)]) for x in ((a, b, c), (a, b), (b, c), (b,), (c,)))
+        c3, c2, c2b, c1, c1b = (max(0, int(count[len(x)][_bucket(x)]) - n) for x, n in zip(((a, b, c), (a, b), (b, c), (b,), (c,)), less))
         w3, w2, w1 = WEIGHTS
-        return math.log(w3 * c3 / max(1, c2) + w2 * c2b / max(1, c1) + w1 * c1b / self.total + UNIFORM)
+        return math.log(w3 * min(1.0, c3 / max(1, c2)) + w2 * min(1.0, c2b / max(1, c1)) + w1 * c1b / self.total + UNIFORM)
 
-    def scores(self, text: str) -> list[float]:
-        """Log-likelihood of each character of `text` from the third on."""
+    def scores(self, text: str, own: dict[str, int] | None = None) -> list[float]:
+        """Log-likelihood of each character of `text` from the third on, without the counts `own`."""
         if len(self.known) > 2_000_000:
             self.known.clear()
         out, known = [], self.known
         for i in range(2, len(text)):
-            gram = text[i - 2 : i + 1]
-            p = known.get(gram)
+            gram: object = text[i - 2 : i + 1]
+            less = (0,) * 5
+            if own:
+                less = tuple([own.get(x, 0) for x in (gram, gram[:2], gram[1:], gram[1], gram[2])])
+            key = (gram, less) if any(less) else gram
+            p = known.get(key)
             if p is None:
-                p = known[gram] = self._likelihood(gram)
+                p = known[key] = self._likelihood(gram, less)
             out.append(p)
         return out
 
-    def met(self, text: str) -> bool:
-        """True if every character of `text` occurs in the clean lines."""
-        return all(self.counts[1][_bucket((ord(c),))] for c in text)
+    def met(self, text: str, own: dict[str, int] | None = None) -> bool:
+        """True if every character of `text` occurs in the clean lines, the counts `own` aside."""
+        return all(self.counts[1][_bucket((ord(c),))] > (own.get(c, 0) if own else 0) for c in text)
 
-    def candidates(self, run: str) -> Iterator[tuple[str, str, float]]:
+    def seen(self, text: str, own: dict[str, int]) -> bool:
+        """True if every trigram of `text` outside ASCII occurs in the clean lines, the counts `own` aside."""
+        grams = (text[i : i + 3] for i in range(len(text) - 2))
+        return all(self.counts[3][_bucket(tuple(map(ord, g)))] > own.get(g, 0) for g in grams if not g.isascii())
+
+    def candidates(self, run: str) -> list[tuple[str, str, float]]:
         """Repaired run, chain, margin."""
+        if run not in self.tried:
+            if len(self.tried) > 100_000:
+                self.tried.clear()
+            self.tried[run] = list(self._candidates(run))
+        return self.tried[run]
+
+    def _candidates(self, run: str) -> Iterator[tuple[str, str, float]]:
         seen = {run}
         step = [(run, "")]
         for _ in range(DEPTH):
@@ -199,49 +221,67 @@ class Model:
                 seen.add(fixed)
                 yield fixed, f"{wrong}>{right}", MARGIN_BYTE
 
-    def place(self, before: str, run: str, after: str) -> tuple[str, str, bool] | None:
-        """What stood there, by which chain, and whether it is restored; None if the place is in order."""
-        key = (before, run, after)
+    def place(self, before: str, run: str, after: str, own: dict[str, int] | None = None) -> tuple[str, str, bool] | None:
+        """What stood there, by which chain, and whether it is restored; None if the place is in order.
+
+        Without the line's own counts much that is rare loses its likelihood, so a repair of single bytes must then be
+        of trigrams that occur elsewhere.
+        """
+        key = (before, run, after, tuple(own.items()) if own else None)
         if key not in self.memo:
             if len(self.memo) > 500_000:
                 self.memo.clear()
-            self.memo[key] = self._place(before, run, after)
+            got = self._place(before, run, after, None)
+            if got is None and own and not _SHOWN_ALIKE.issuperset(run):
+                got = self._place(before, run, after, own)
+            self.memo[key] = got
         return self.memo[key]
 
-    def _place(self, before: str, run: str, after: str) -> tuple[str, str, bool] | None:
+    def _place(self, before: str, run: str, after: str, own: dict[str, int] | None) -> tuple[str, str, bool] | None:
         lost = _LOST.search(run)
-        here = self.scores(before + run + after)
-        if not lost and min(here) > USUAL:
-            return None
-        stands, best = sum(here), None
+        stands, best = sum(self.scores(before + run + after, own)), None
+        if not lost and -stands <= min(MARGIN_UTF8, MARGIN_BYTE):
+            return None  # nothing can gain a margin: no likelihood is above 1
         for fixed, chain, margin in self.candidates(run):
-            s = self.scores(before + fixed + after)
+            if ">utf-8" not in chain and _mixes(before, fixed, after):
+                continue
+            s = self.scores(before + fixed + after, own)
             gain = sum(s) - stands - margin
-            if ">utf-8" not in chain and (sum(s) < PLAUSIBLE * len(s) or _mixes(before, fixed, after)):
+            if ">utf-8" not in chain and (sum(s) < PLAUSIBLE * len(s) or own and not self.seen(before + fixed + after, own)):
                 continue
-            if gain > 0 and (best is None or gain > best[0]) and self.met(fixed.replace("\ufffd", "")):
+            if gain > 0 and (best is None or gain > best[0]) and self.met(fixed.replace("\ufffd", ""), own):
                 best = (gain, fixed, chain)
         if best:
             return best[1], best[2], not _LOST.search(best[1])
         return (run, "", False) if lost else None
 
-    def _as_the_rest(self, before: str, run: str, after: str, chains: set[str]) -> tuple[str, str, bool] | None:
+    def _as_the_rest(self, before: str, run: str, after: str, own: dict[str, int] | None, chains: set[str]) -> tuple[str, str, bool] | None:
         """A place of a line in which other places were garbled by `chains`: any gain is enough."""
-        stands = sum(self.scores(before + run + after))
+        stands = sum(self.scores(before + run + after, own))
         for fixed, chain, _ in self.candidates(run):
-            if chain in chains and not _mixes(before, fixed, after) and sum(self.scores(before + fixed + after)) > stands:
+            if chain in chains and not _mixes(before, fixed, after) and sum(self.scores(before + fixed + after, own)) > stands:
                 return fixed, chain, True
         return None
 
-    def repair(self, line: str) -> tuple[str, int, int, set[str]]:
-        """The line with its garbled places put right; the numbers of garbled and of restored places; the chains."""
+    def repair(self, line: str, trained: bool = False) -> tuple[str, int, int, set[str]]:
+        """The line with its garbled places put right; the numbers of garbled and of restored places; the chains.
+
+        `trained`: the line is one of those that the model was trained on, and is scored without its own counts.
+        """
         out, end, found, restored, chains = [], 0, 0, 0, set()
         padded = f"  {line}  "
-        places = [(*m.span(), padded[m.start() : m.start() + 2], m.group(), padded[m.end() + 2 : m.end() + 4]) for m in _RUN.finditer(line)]
+        whole = Counter([*padded, *map(add, padded, padded[1:]), *map("".join, zip(padded, padded[1:], padded[2:]))]) if trained else None
+        places = []
+        for m in _RUN.finditer(line):
+            around = (padded[m.start() : m.start() + 2], m.group(), padded[m.end() + 2 : m.end() + 4])
+            own = None
+            if whole:  # of the n-grams outside ASCII; the others are too common to matter
+                text = "".join(around)
+                own = {g: whole[g] for n in (1, 2, 3) for g in map("".join, zip(*[text[i:] for i in range(n)])) if not g.isascii()}
+            places.append((*m.span(), *around, own))
         decided = [self.place(*p[2:]) for p in places]
         by_byte = {d[1] for d in decided if d and d[1] and ">utf-8" not in d[1]}
-        for a, b, *place in places:
-            got = self.place(*place)
+        for (a, b, *place), got in zip(places, decided):
             if got is None and by_byte:
                 got = self._as_the_rest(*place, by_byte)
             if got is not None:
@@ -255,10 +295,11 @@ class Model:
         return "".join([*out, line[end:]]), found, restored, chains
 
 
-def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _train(batches: Iterator[pd.DataFrame], model: Model | None = None) -> Iterator[pd.DataFrame]:
+    """Counts of the clean lines; of those that `model`, trained on them, would leave as they are, if it is given."""
     total = {n: np.zeros(1 << b, np.int64) for n, b in BITS.items()}
     for pdf in batches:
-        lines = [x for t in pdf["__text"] for x in t.split("\n") if not x.isascii() and is_clean(x)]
+        lines = [x for x in pdf["__line"] if is_clean(x) and not (model and model.repair(x, True)[1])]
         for at in range(0, len(lines), 20_000):
             for n, c in count_ngrams(lines[at : at + 20_000]).items():
                 total[n] += c
@@ -267,19 +308,42 @@ def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"order": np.full(len(there), n, np.int32), "bucket": there, "n": c[there]})
 
 
-def train_model(df: DataFrame, text: Column) -> Model:
-    """The n-gram model of all clean lines of `text`. At most the buckets of the table (1.2 million) come to the driver, packed by order."""
-    rows = df.select(text.alias("__text")).where(F.col("__text").rlike("[^\\x00-\\x7f]"))
-    summed = spread(rows).mapInPandas(_train, "order int, bucket long, n long").groupBy("order", "bucket").agg(F.sum("n").alias("n"))
-    got = summed.toPandas()
+#: Models of this Python worker, by broadcast.
+_LOADED: dict[str, Model] = {}
+
+
+def _sent(spark: SparkSession, model: Model):
+    """A function that gives the model in a Python worker."""
+    sent = spark.sparkContext.broadcast({n: c.astype(np.uint32 if c.max(initial=0) < 2**32 else np.float64) for n, c in model.counts.items()})
+    token = uuid.uuid4().hex
+
+    def load() -> Model:
+        if token not in _LOADED:
+            _LOADED.clear()
+            _LOADED[token] = Model({n: c.astype(np.int64) if c.dtype == np.uint32 else c for n, c in sent.value.items()})
+        return _LOADED[token]
+
+    return load
+
+
+def _collected(counted: DataFrame) -> Model:
+    got = counted.groupBy("order", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = {n: np.zeros(1 << b, np.int64) for n, b in BITS.items()}
     for n, part in got.groupby("order"):
         counts[int(n)][part["bucket"].to_numpy()] = part["n"].to_numpy()
     return Model(counts)
 
 
-#: Models of this Python worker, by broadcast.
-_LOADED: dict[str, Model] = {}
+def train_model(df: DataFrame, text: Column) -> Model:
+    """The n-gram model of the different clean lines of `text`, without those that a first model of them all would repair.
+
+    At most the buckets of the table (1.2 million) come to the driver, packed by order.
+    """
+    rows = spread(df.select(text.alias("__text")).where(F.col("__text").rlike(r"[^\x00-\x7f]")))
+    lines = cut(rows.select(F.explode(F.split("__text", "\n")).alias("__line")).where(F.col("__line").rlike(r"[^\x00-\x7f]")).distinct())
+    schema = "order int, bucket long, n long"
+    load = _sent(df.sparkSession, _collected(lines.mapInPandas(_train, schema)))
+    return _collected(lines.mapInPandas(lambda batches: _train(batches, load()), schema))
 
 
 def find_garbled(df: DataFrame, keys: list[str], text: str, model: Model | None = None) -> DataFrame:
@@ -290,20 +354,16 @@ def find_garbled(df: DataFrame, keys: list[str], text: str, model: Model | None
     often as they stand; an empty table gives no rows.
     """
     spark: SparkSession = df.sparkSession
-    model = model or train_model(df, F.col(text))
-    sent = spark.sparkContext.broadcast({n: c.astype(np.uint32 if c.max(initial=0) < 2**32 else np.float64) for n, c in model.counts.items()})
-    token = uuid.uuid4().hex
+    trained_here = model is None
+    load = _sent(spark, model or train_model(df, F.col(text)))
     rows = df.select(*keys, F.col(text).alias("__text")).where(F.col("__text").rlike("[^\\x00-\\x7f]"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if token not in _LOADED:
-            _LOADED.clear()
-            _LOADED[token] = Model({n: c.astype(np.int64) if c.dtype == np.uint32 else c for n, c in sent.value.items()})
-        own = _LOADED[token]
+        own = load()
         for pdf in batches:
             got: list[tuple] = []
             for i, t in enumerate(pdf["__text"]):
-                parts = [own.repair(x) if not x.isascii() else (x, 0, 0, set()) for x in t.split("\n")]
+                parts = [own.repair(x, trained_here and is_clean(x)) if not x.isascii() else (x, 0, 0, set()) for x in t.split("\n")]
                 if n := sum(p[1] for p in parts):
                     got.append((i, "\n".join(p[0] for p in parts), n, sum(p[2] for p in parts), ",".join(sorted(set().union(*(p[3] for p in parts))))))
             if got:
