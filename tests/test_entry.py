@@ -13,6 +13,19 @@ def test_names():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
+def test_seed_occurrences_of_every_length(spark):
+    got = {r["gram"]: (r["gram_size"], r["occurrences"], r["position_sum"]) for r in contract.queries()["seed_occurrences"](spark, SMALL).collect()}
+    seeds = {r["text"] for r in spark.read.parquet(f"{SMALL}/seed_candidates.parquet").collect() if r["text"]}
+    texts = [r["normalized_text"] or "" for r in spark.read.parquet(f"{SMALL}/prepared_sentences.parquet").collect()]
+    want = {}
+    for seed in seeds:
+        at = [i for t in texts for i in range(len(t)) if t.startswith(seed, i)]
+        if at:
+            want[seed] = (len(seed), len(at), sum(at))
+    assert got == want and max(map(len, want)) > 3
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
 def test_flagship(spark):
     df = contract.entry(spark)

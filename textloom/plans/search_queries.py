@@ -117,7 +117,7 @@ def indexed_seeds(spark, folder):
 
 def seed_occurrences(spark, folder):
     """Occurrences of the seeds that the workload considered, from the dictionary-encoded index."""
-    seeds = table(spark, folder, "seed_candidates").select(F.length("text").alias("gram_size"), F.col("text").alias("gram")).where((F.col("gram_size") > 0) & (F.col("gram_size") <= 3)).distinct()
+    seeds = table(spark, folder, "seed_candidates").select(F.length("text").alias("gram_size"), F.col("text").alias("gram")).where(F.col("gram_size") > 0).distinct()
     return search.seed_occurrences(seeds, sentences(spark, folder)).groupBy("gram_size", "gram").agg(F.count(F.lit(1)).alias("occurrences"), F.sum(F.col("position").cast("long")).alias("position_sum"))
 
 
