@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from textloom.plans import search_queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -26,6 +27,15 @@ def test_seed_occurrences_of_every_length(spark):
     assert got == want and max(map(len, want)) > 3
 
 
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
+def test_generated_queries_are_searched(spark):
+    folder = SMALL.replace("0.001", "0.01")
+    ids = {f"q{i:08}" for i in range(50, 401, 50)}
+    asked = [r["query_id"] for r in search_queries.asked(spark, folder).collect()]
+    assert ids == {i for i in asked if i.startswith("q")} and len(asked) == len(set(asked)) == 48 + len(ids)
+    assert ids & {r["query_id"] for r in contract.queries()["complete"](spark, folder).collect()}
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
 def test_flagship(spark):
     df = contract.entry(spark)

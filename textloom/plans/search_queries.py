@@ -1,4 +1,4 @@
-"""Search and completion over the prepared sentences, with the golden workload as queries."""
+"""Search and completion over the prepared sentences, with the golden workload and every 50th generated query as queries."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from textloom.session import scratch, table
 from textloom.sources import index_store
 
 SIZES = [1, 2, 3]
+#: Of the generated workload every so many ids are searched.
+ASKED_EVERY = 50
 
 
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
@@ -18,7 +20,14 @@ def sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "saved_queries").select("query_id", F.col("normalized_query").alias("q"))
+    return _asked(spark, folder).select("query_id", F.col("normalized_query").alias("q"))
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """The golden workload and the generated queries whose numeric id is divisible by 50, each once per id."""
+    saved, generated = (table(spark, folder, t).select("query_id", "query_text", "normalized_query") for t in ("saved_queries", "queries"))
+    number = F.regexp_extract("query_id", r"(\d+)$", 1).try_cast("long")
+    return saved.unionByName(generated.where(number % ASKED_EVERY == 0).dropDuplicates(["query_id"]))
 
 
 def workload(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,7 +166,7 @@ def best_per_record(spark, folder):
 def complete(spark, folder):
     """Raw query texts to their five best records, by the engine's default strategy."""
     engine = ranking.SearchEngine("bi_anchor").build(table(spark, folder, "prepared_sentences"))
-    return engine.complete(table(spark, folder, "saved_queries").select("query_id", F.col("query_text").alias("prefix")))
+    return engine.complete(_asked(spark, folder).select("query_id", F.col("query_text").alias("prefix")))
 
 
 def top_k(spark, folder):
