@@ -37,6 +37,15 @@ def test_copies_of_a_cut_text_are_no_stock_remark(spark):
     assert sorted(r["id"] for r in got) == list(range(40)) and {r["sign"] for r in got} == {"ellipsis"}
 
 
+def test_padding_and_long_lines(spark):
+    long = "The archive keeps " + "many quiet words " * 60
+    at = "if the relay stores the bri"
+    cut = ["The ledger stores the quiet bri" + " " * 700, "The ledger stores the quiet bri" + "\n" * 595, long + at + " " + "x" * (truncation.TAIL - len(at) - 1)]
+    whole = ["The ledger stores the bridge." + " " * 700, "* An entry of a list" + " \n" * 400]
+    df = spark.createDataFrame(list(enumerate(cut + whole)), "id long, text string")
+    assert sorted(r["id"] for r in truncation.find_truncated(df, "id", "text").collect()) == [0, 1, 2]
+
+
 def test_prefixes_equal_brute_force(spark):
     pick = random.Random(11)
     base = ["".join(pick.choice("ab cé") for _ in range(pick.randint(20, 300))).strip() for _ in range(12)]

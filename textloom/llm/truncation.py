@@ -18,7 +18,7 @@ from textloom.session import cut, spread
 
 #: A closing line ended by an ellipsis is a stock remark from this share, and this number, of different texts on.
 REMARK_SHARE, REMARK_TEXTS = 0.0005, 3
-#: Characters before the end that hold the last lines; a longer last line counts as running text.
+#: A last line of more characters than this counts as running text, however it begins.
 TAIL = 600
 #: The shortest prefix that is compared, in characters.
 SHORTEST = 16
@@ -80,7 +80,7 @@ def prefix_of_longer(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 def ends(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """`keep`, and `__line, __above`: the last line that isn't blank, and the one above it, blanks around them cut off."""
-    tail = F.rtrim(F.right(F.col(text), F.lit(TAIL)), F.lit(" \t\r\n\u00a0"))
+    tail = F.rtrim(F.col(text), F.lit(" \t\r\n\u00a0"))
     two = F.substring_index("__tail", "\n", -2)
     lines = df.select(*keep, tail.alias("__tail")).withColumn("__two", two)
     above = F.when(F.col("__two").contains("\n"), F.trim(F.substring_index("__two", "\n", 1))).otherwise(F.lit(""))
@@ -97,9 +97,10 @@ def _signed(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     line, above, end = F.col("__line"), F.col("__above"), F.col("__end")
     finished = end.rlike(SENTENCE_END + CLOSERS + "$") & ~line.rlike(NUMBER_ONLY)
     structured = above.rlike(ABOVE_SIGNATURE)
+    short = F.length(line) <= TAIL
     for pattern in STRUCTURED:
-        structured = structured | line.rlike(pattern)
-    left_open = end.rlike(LEFT_OPEN) & ~(above.rlike(ABOVE_SIGNATURE) | line.rlike(SIGNATURE))
+        structured = structured | (short & line.rlike(pattern) if pattern.startswith("^") else end.rlike(pattern))
+    left_open = end.rlike(LEFT_OPEN) & ~(above.rlike(ABOVE_SIGNATURE) | (short & line.rlike(SIGNATURE)))
     sign = (
         F.when(end.rlike(MARKS), F.lit("mark"))
         .when(end.endswith("\ufffd"), F.lit("lost_character"))
