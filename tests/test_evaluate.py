@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import os
 import random
+import zlib
 from math import ceil
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import evaluate, workload
 from textloom.operators.numbering import row_numbers
+from textloom.plans import evaluate_queries
 
 
 def test_nearest_rank(spark):
@@ -86,3 +89,15 @@ def test_generated_workload(spark):
 @pytest.mark.parametrize("kind", ["synthetic", "repetitive", "high_frequency", "cross_word"])
 def test_synthetic(spark, kind):
     assert workload.synthetic_corpus(spark, kind, 10).where(F.length("n") > 0).count() == 10
+
+
+def test_signature_query_keeps_its_hash_sums(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    want = {}
+    for r in spark.read.parquet(f"{folder}/completions.parquet").where("query_id is not null").collect():
+        line = "|".join("" if r[c] is None else str(r[c]) for c in ("completed_sentence", "source_text", "line_no", "score"))
+        n, a, b = want.get(r["query_id"], (0, 0, 0))
+        want[r["query_id"]] = (n + 1, a + zlib.crc32(line.encode()), b + zlib.crc32(line[::-1].encode()))
+    assert {r["query_id"]: (r["n"], r["sum_1"], r["sum_2"]) for r in evaluate_queries.signature(spark, folder).collect()} == want

@@ -98,7 +98,7 @@ def by_category(spark, folder):
 def signature(spark, folder):
     """Signatures of the logged completions of each query."""
     rows = table(spark, folder, "completions").where(F.col("query_id").isNotNull())
-    return evaluate.signature(rows, ["completed_sentence", "source_text", "line_no", "score"]).select("query_id", "n")
+    return evaluate.signature(rows, ["completed_sentence", "source_text", "line_no", "score"])
 
 
 def multiset_diff(spark, folder):
