@@ -24,12 +24,38 @@ def test_heavy_keys(spark):
     assert {r["k"] for r in skew.heavy_keys(keyed(spark, KEYS), "k", 0.05).collect()} == {"hot", "warm"}
 
 
+def _per_task(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
 def test_no_task_holds_much_more_than_its_share(spark):
-    rows = keyed(spark, KEYS)
+    """The placement counts in the operators' own output, with adaptive execution off."""
+    keys = ["hot"] * 12_000 + [f"w{i % 9}" for i in range(2_700)] + [f"k{i % 1370}" for i in range(9_000)] + [None] * 300
+    rows = keyed(spark, keys)
+    fair = len(keys) / 8
     plan = skew.plan_loads(rows, "k", tasks=8)
-    assert len(plan.large["hot"]) > 4 and max(plan.task_load) <= 1.5 * len(KEYS) / 8
-    placed = skew.place(rows, "k", plan, "id").repartition(8, "__slot").groupBy(F.spark_partition_id()).count().collect()
-    assert len(placed) == 8 and max(r["count"] for r in placed) <= 2 * len(KEYS) / 8
+    assert len(plan.task_load) == 8 and max(plan.task_load) <= 1.1 * fair
+    hot = next(tasks for h, tasks in plan.large.items() if h == rows.where("k = 'hot'").select(F.xxhash64("k").alias("h")).first()["h"])
+    assert len(set(hot)) == 8
+    right = spark.createDataFrame([(k,) for k in {*keys} - {None}], "k string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = _per_task(skew.fragment_replicate_join(rows, right, "k", plan, "left", "id").select("id"))
+        assert len(joined) == 8 and sum(joined) == len(keys) and max(joined) <= 1.5 * fair
+        shards = skew.exchange(skew.place(rows, "k", plan, "id"), plan)
+        assert max(_per_task(shards)) <= 1.5 * fair
+        for plan_text in (shards.groupBy("__slot", "k").count(), skew.fragment_replicate_join(rows, right, "k", plan)):
+            text = plan_text._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning" not in text and "shufflepartitionidpassthrough" in text
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_counts_are_combined_before_the_exchange(spark):
+    rows = keyed(spark, ["hot"] * 5_000 + ["cold"]).coalesce(2)
+    plan = skew.plan_loads(rows, "k", tasks=4)
+    combined = skew.place(rows.select("k", "id"), "k", plan, "id").select("__slot", "k").mapInArrow(skew._combine, "__slot int, k string, __n long")
+    assert combined.count() <= 2 * 5
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
