@@ -13,7 +13,8 @@ CUT = {
 }
 WHOLE = [
     "A sentence.", "A question?", "She said “yes.”", "He left (quickly).", "One sentence.\n\n-- \nMona Halowa", "One sentence.\n~ Mona", "One sentence.\n[Page 12]", "One.\n* first thing\n* second thing", "One.\n| a | b |", "One.\n\n*** END OF TEXT ***",
-    "One.\n(About ledgers)", "One.\nFiled under: alpha, beta, gamma", "One.\n    def f(x):\n        return x + 36", "One.\nMore to follow…", "Well, you know the rest...", "“Wir kürzen“, sagte Mona.", "One. ", "One.\n\n \n", "", None, "   ", "Ende!",
+    "One.\n(About ledgers)", "One.\nFiled under: alpha, beta, gamma", "One.\n    def f(x):\n        return x + 36", "“Wir kürzen“, sagte Mona.", "One. ", "One.\n\n \n", "", None, "   ", "Ende!",
+    *[f"{n}.\nMore to follow…" for n in ("One", "Two", "Three")], *[f"{n}. Well, you know the rest..." for n in ("One", "Two", "Three")],
 ]
 
 
@@ -38,14 +39,34 @@ def test_copies_of_a_cut_text_are_no_stock_remark(spark):
 
 
 def test_padding_and_long_lines(spark):
+    """Neither blanks at the end nor the length of a line change what its end shows."""
     long = "The archive keeps " + "many quiet words " * 60
-    at = "if the relay stores the bri"
-    cut = ["The ledger stores the quiet bri" + " " * 700, "The ledger stores the quiet bri" + "\n" * 595, long + at + " " + "x" * (truncation.TAIL - len(at) - 1)]
-    whole = ["The ledger stores the bridge." + " " * 700, "* An entry of a list" + " \n" * 400]
+    cut = ["The ledger stores the quiet bri" + " " * 700, "The ledger stores the quiet bri" + "\n" * 595, long + "if the relay stores the bri"]
+    whole = ["The ledger stores the bridge." + " " * 700, "* An entry of a list" + " \n" * 400, "* An entry " + "of a long list " * 60 + "and its end"]
     df = spark.createDataFrame(list(enumerate(cut + whole)), "id long, text string")
     assert sorted(r["id"] for r in truncation.find_truncated(df, "id", "text").collect()) == [0, 1, 2]
 
 
+def test_a_remark_is_told_by_how_its_words_go_on(spark):
+    """`The...` ends three different texts, but as many last sentences that begin so go on: no remark, at any size."""
+    cut = [f"Sentence {i} is here. The..." for i in range(3)]
+    whole = [f"Sentence {i} is here. The relay {i} stands." for i in range(4)] + [f"Sentence {i} is here. And that was all..." for i in range(3)]
+    for rows in (cut + whole, cut + whole + [f"Another {i}." for i in range(300)], (cut + whole) * 3):
+        df = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+        assert {rows[r["id"]] for r in truncation.find_truncated(df, "id", "text").collect()} == set(cut)
+
+
+def test_three_copies_of_a_cut_text_are_all_found(spark):
+    for n in (2, 3, 30):
+        df = spark.createDataFrame([(i, "One sentence. Because the...") for i in range(n)], "id long, text string")
+        assert truncation.find_truncated(df, "id", "text").count() == n
+
+
+def test_end_signs_alone(spark):
+    df = spark.createDataFrame([(1, "Cut he"), (2, "Whole."), (3, "Goes on [cut]"), (4, None), (5, "* entry")], "id long, text string")
+    assert {(r["id"], r["sign"]) for r in truncation.end_signs(df, "id", "text").collect()} == {(1, "open_end"), (3, "mark")}
+
+
 def test_prefixes_equal_brute_force(spark):
     pick = random.Random(11)
     base = ["".join(pick.choice("ab cé") for _ in range(pick.randint(20, 300))).strip() for _ in range(12)]
@@ -54,6 +75,16 @@ def test_prefixes_equal_brute_force(spark):
     want = {i for i, a in enumerate(stripped) if len(a) >= truncation.SHORTEST and any(len(b) > len(a) and b.startswith(a) for b in stripped)}
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
     assert {r["id"] for r in truncation.prefix_of_longer(df, "id", "text").collect()} == want
+    want = {i for i, a in enumerate(stripped) if a and any(len(b) > len(a) and b.startswith(a) for b in stripped)}
+    assert {r["id"] for r in truncation.prefix_of_longer(df, "id", "text", shortest=1).collect()} == want
+
+
+def test_prefixes_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "BROADCAST_ROWS", 0)
+    heading = "A heading that begins a third of all texts. "
+    texts = [heading + "x" * i for i in range(120)] + [f"{i} something else altogether" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert {r["id"] for r in truncation.prefix_of_longer(df, "id", "text").collect()} == set(range(119))
 
 
 def test_a_longer_copy_shows_a_cut_list(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from textloom.llm import truncation as tr
 from textloom.llm.canonical import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS, HYPHENS, INVISIBLE, OTHER, OTHER_AS
 
 _BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
@@ -64,26 +63,48 @@ def _like(column: str, pattern: str) -> str:
     return f"regexp_matches({column}, {_text(pattern)})"
 
 
-_STRUCTURED = " or ".join([_like("above", tr.ABOVE_SIGNATURE), *(_like("line", x) for x in tr.STRUCTURED)])
+# Problem 8, spelled out for this engine; it shares no pattern and no number with the operator.
+_WHOLE_LINES = (
+    "[*•–-] +[^ ].*", "[|].*[|]", "[(].*[)]", "[[][^][]*[]]", "[*]{2,}.*[*]{2,}", "={2,}.*={2,}", "-{2,}.*-{2,}", "_{2,}.*_{2,}", "#{2,}.*#{2,}", "~{2,}.*~{2,}",
+    "[~—–] ?[^ ].*", "[\\p{L}][\\p{L} ]{0,30}: ?[^\\s,.;]+(, ?[^\\s,.;]+)+", "(def|class|if|for|while)( .*)?:", "(return|import|print)( *[A-Za-z0-9_.()[\\]]+( ?[-+*/%,] ?[A-Za-z0-9_.()[\\]]+)*)?",
+    "[A-Za-z0-9_.[\\]]+ ?[-+*/]?= ?[^ ].*", ".*[;{}]", "(https?://|www[.])[^ ]+",
+)
+_SIGNED = "[~—–] ?[^ ].*"
+_DONE = "[.!?。！？؟۔׃‽][]\"'”’»›“‘)}*_]*$"
+_TRAILS = "[ \\t]*([.][.][.]|…)[]\"'”’»›“‘)}*_]*$"
+_CUT_MARK = "(?i)([[](cut|truncated|snip|snipped|[.]{3}|…|more)[]]|[(](cut|truncated|more|continued|cont[.])[)]|<(cut|truncated|snip)>|[([][+][0-9]+ (chars|characters)[])])$"
+_LAST_SENTENCE = "trim(regexp_replace(regexp_replace(lower({0}), {1}, '\\1'), '\\s+', ' ', 'g'))"
+_SAID = _LAST_SENTENCE.format(f"regexp_replace(line, {_text(_TRAILS)}, '')", _text("^.*[.!?:…。！？؟][\\s\"'”’»›)\\]]+([^\\s])"))
+
+
+def _full(column: str, pattern: str) -> str:
+    return f"regexp_full_match({column}, {_text(pattern)})"
+
+
+_SHAPED = " or ".join(_full("line", x) for x in _WHOLE_LINES)
 _TRUNCATED = f"""
 with l as (
-  select doc_id, source, trim(ls[-1]) as line, case when len(ls) > 1 then trim(ls[-2]) else '' end as above, body from (
-    select doc_id, source, string_split(rtrim(right(text, {tr.TAIL}), chr(32) || chr(9) || chr(13) || chr(10) || chr(160)), chr(10)) as ls, rtrim(text, chr(32) || chr(9) || chr(13) || chr(10)) as body from documents where text is not null)
+  select doc_id, source, text, trim(ls[-1]) as line, case when len(ls) > 1 then trim(ls[-2]) else '' end as above, body from (
+    select doc_id, source, text, string_split(rtrim(text, chr(32) || chr(9) || chr(13) || chr(10) || chr(160)), chr(10)) as ls, rtrim(text, chr(32) || chr(9) || chr(13) || chr(10)) as body
+    from documents where text is not null)
+  where trim(ls[-1]) <> ''
+),
+k as (
+  select *, {_like('line', _DONE)} and not {_full('line', '[(]?[0-9]+[.)]')} as finished, {_like('line', _TRAILS)} as trails, {_full('above', '(-- ?|_{2,}|—+)')} as below_rule,
+    {_like('line', '([,;:(«“„¿¡]|[\\p{L}]-)$')} and not {_full('line', _SIGNED)} as dangling, {_SAID} as said from l
 ),
 s as (
-  select *, {_like('line', tr.SENTENCE_END + tr.CLOSERS + '$')} and not {_like('line', tr.NUMBER_ONLY)} as finished,
-    case when {_like('line', tr.MARKS)} then 'mark' when ends_with(line, chr(65533)) then 'lost_character' when {_like('line', tr.ELLIPSIS)} then 'ellipsis'
-      when not ({_like('line', tr.SENTENCE_END + tr.CLOSERS + '$')} and not {_like('line', tr.NUMBER_ONLY)})
-        and (not ({_STRUCTURED}) or {_like('line', tr.LEFT_OPEN)} and not ({_like('above', tr.ABOVE_SIGNATURE)} or {_like('line', tr.SIGNATURE)})) then 'open_end' end as sign
-  from l where line <> ''
+  select *, case when {_like('line', _CUT_MARK)} then 'mark' when ends_with(line, chr(65533)) then 'lost_character' when trails then 'ellipsis'
+    when not finished and (not (below_rule or {_SHAPED}) or dangling and not below_rule) then 'open_end' end as sign from k
+),
+often as (select said, count(distinct text) as n from s where sign = 'ellipsis' and said <> '' group by said having count(distinct text) > 2),
+stock as (
+  select often.said from often join k on k.said = often.said or starts_with(k.said, often.said || ' ') group by often.said, n having 2 * n >= count(distinct k.text)
 ),
-stock as (select lower(line) as low from s where sign = 'ellipsis' group by 1 having count(*) >= greatest({tr.REMARK_TEXTS}, {tr.REMARK_SHARE} * (select count(*) from documents))),
-longer as (select distinct a.doc_id from l a join l b on length(a.body) >= {tr.SHORTEST} and length(b.body) > length(a.body) and starts_with(b.body, a.body)),
+longer as (select distinct a.doc_id from l a join l b on length(a.body) > 15 and length(b.body) > length(a.body) and starts_with(b.body, a.body)),
 t as (
-  select doc_id, source, case when sign is null then 'longer_copy' else sign end as sign, doc_id in (select doc_id from longer) as has_longer_copy from s
-  where case when sign = 'ellipsis' then lower(line) not in (select low from stock)
-      and regexp_replace(regexp_replace(lower(line), '[.…\\s]+$', ''), '^.*[.!?:…] ', '') not in ({', '.join(map(_text, tr.REMARKS))})
-    else sign is not null or not finished and doc_id in (select doc_id from longer) end
+  select doc_id, source, coalesce(sign, 'longer_copy') as sign, doc_id in (select doc_id from longer) as has_longer_copy from s
+  where case when sign = 'ellipsis' then said not in (select said from stock) when sign is null then not finished and doc_id in (select doc_id from longer) else true end
 )
 """
 
