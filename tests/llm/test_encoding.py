@@ -100,6 +100,56 @@ def test_copies_of_a_garbled_line_are_found(spark):
     assert set(range(800, 1200)) <= got and len([i for i in got if i < 800]) <= 2
 
 
+@pytest.mark.parametrize(
+    "text,steps",
+    [
+        ("Schlüssel", [("utf-8", "cp1252"), ("cp1252", "cp437")]), ("Schlüssel", [("cp1252", "cp850"), ("utf-8", "cp1252")]),
+        ("ключи", [("utf-8", "koi8-r")]), ("ключи", [("cp1251", "iso8859-5")]), ("הספר", [("utf-8", "cp1255")]), ("中文", [("gbk", "latin-1")]), ("中文", [("big5", "cp437")]),
+        ("é", [("utf-8", "gbk")]), ("😀", [("utf-8", "latin-1")]), ("ü", [("utf-8", "cp1252")] * 3),
+    ],
+)
+def test_every_chain_is_a_candidate(text, steps):
+    run = text
+    for right, wrong in steps:
+        run = run.encode(right).decode(wrong)
+    held = encoding.Model.of([f"{text} {x}" for x in ("ist", "war")] + ["x"])
+    ascii_out = "".join(c for c in text if not c.isascii())
+    pieces = [c for r in encoding._RUN.findall(run) for c, _ in held.candidates(r)]
+    assert ascii_out in pieces or text in pieces
+
+
+def test_margin_is_validated_on_words_that_the_training_lines_lack():
+    """Half of the words of each language train, the other half is judged, clean and garbled by every chain."""
+    pick = random.Random(4)
+    split = {k: (w[::2], w[1::2]) for k, w in WORDS.items()}
+    build = lambda half, n: [" ".join(pick.choice(split[k][half]) for _ in range(6)) for k in split for _ in range(n)]
+    training, held_out = build(0, 300), build(1, 40)
+    assert not {w for x in training for w in x.split()} & {w for x in held_out for w in x.split()}
+    chains = [*CHAINS, ("cp1252", "cp850"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1255", "cp1252"), ("cp1251", "cp1252")]
+    errors = {m: (touched, missed) for m, touched, missed in encoding.margin_errors(training, held_out, chains, [1.0, encoding.MARGIN, 12.0])}
+    touched, missed = errors[encoding.MARGIN]
+    assert touched <= 0.02 and missed <= 0.35, errors
+    assert errors[12.0][1] >= missed and errors[1.0][0] >= touched
+
+
+def test_a_single_byte_garbled_line_holds_a_third_of_the_rows(spark):
+    bad = "Schlüssel für größere Kanäle über Löffel".encode("cp1252").decode("cp850")
+    rows = [*lines(5, 800), *[bad] * 400]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string").repartition(3)
+    got = [r for r in encoding.find_garbled(df, ["id"], "text").collect()]
+    assert set(range(800, 1200)) <= {r["id"] for r in got} and len(got) <= 402
+    assert {r["repaired_text"] for r in got if r["id"] >= 800} == {"Schlüssel für größere Kanäle über Löffel"}
+
+
+def test_new_characters_of_a_whole_utf8_run(model):
+    assert model.repair("done " + "😀".encode().decode("latin-1"))[0] == "done 😀"
+
+
+def test_counts_are_of_lines():
+    counts = encoding.count_ngrams(["éé éé", "é", "ab"])
+    assert counts[1][encoding._bucket((ord("é"),))] == 2 and counts[2][encoding._bucket((ord("é"), ord("é")))] == 1
+
+
 def test_hashes_agree():
     text = "aé�😀b"
     for n in encoding.BITS:
