@@ -128,9 +128,9 @@ def undo_utf8(text: str, wrong: str) -> tuple[str, int]:
     return "".join(out), done
 
 
-def _utf8_steps(text: str) -> Iterator[tuple[str, str]]:
-    """What `text` was, if it was UTF-8 read as another codec."""
-    for wrong in spelling(text):
+def _utf8_steps(text: str, whole: bool = False) -> Iterator[tuple[str, str]]:
+    """What `text` was, if it was UTF-8 read as another codec; `whole`: a sequence must begin with its first character."""
+    for wrong in spelling(text[:2] if whole else text):
         fixed, n = undo_utf8(text, wrong)
         if n:
             yield fixed, f"{wrong}>utf-8"
@@ -210,7 +210,7 @@ def _bucket(codes: tuple[int, ...]) -> int:
 
 @lru_cache(maxsize=100_000)
 def _spells(run: str) -> bool:
-    return any(undo_utf8(run, w)[1] for w in spelling(run) if w not in SPELL_BY_CHANCE)
+    return any(w not in SPELL_BY_CHANCE and undo_utf8(run, w)[1] for w in spelling(run))
 
 
 def is_clean(line: str) -> bool:
@@ -324,8 +324,8 @@ class Model:
                     seen.add(fixed)
                     other.append((fixed, f"{chain} {how}".strip()))
         for text, chain in other:
-            if " " not in chain and len(text) > 1:
-                for fixed, how in _utf8_steps(text):
+            if " " not in chain and len(text) > 1:  # a run was read wrongly as a whole, and begins where a sequence does
+                for fixed, how in _utf8_steps(text, True):
                     if fixed not in seen:
                         seen.add(fixed)
                         utf8.append((fixed, f"{chain} {how}"))
@@ -388,17 +388,21 @@ class Model:
         `trained`: the line is one of those that the model was trained on, and is scored with one line less.
         """
         out, end, places, found = [], 0, [], False
+        padded, memo = f"  {line}  ", self.memo
         for m in _RUN.finditer(line):
             a, b = m.span()
+            run, after = m.group(), padded[b + 2 : b + 4]
+            if not after.isascii():
+                after = after[:1]  # the next run may be garbled itself
             out.append(line[end:a])
             end = b
-            before = ("  " + "".join(out[-4:]))[-2:]  # as repaired so far
-            after = f"{line[b : b + 2]}  "[:2]
-            after = after if after.isascii() else after[:1]  # the next run may be garbled itself
-            got = self.place(before, m.group(), after, trained)
-            found = found or got is not None
-            places.append((len(out), before, m.group(), after, got))
-            out.append(got[0] if got else m.group())
+            before = f" {out[-3]}{out[-2]}{out[-1]}"[-2:] if found and a - len(out[-1]) > 0 and len(out[-1]) < 2 else padded[a : a + 2]
+            key = (before, run, after, trained)
+            got = memo[key] if key in memo else self.place(*key)
+            if got is not None:
+                found = True
+            places.append((len(out), before, run, after, got))
+            out.append(got[0] if got else run)
         if not found:
             return line, 0, 0, set()
         by_byte = {p[-1][1] for p in places if p[-1] and p[-1][1] and ">utf-8" not in p[-1][1]}
