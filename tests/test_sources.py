@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import os
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.operators import search
 from textloom.sources import files, index_store
 
 
@@ -32,6 +34,28 @@ def test_folder(spark, folder):
     ]
 
 
+def test_relative_folders(spark, folder, monkeypatch):
+    """A folder's name may come again inside it, and it may be named by a relative path, `.` or a URI."""
+    base = folder / "t"
+    for path in ("cat/b.txt", "hat/t/b.txt", "with blank/ü.txt"):
+        (base / path).parent.mkdir(parents=True, exist_ok=True)
+        (base / path).write_text("x")
+    want = ["cat/b.txt", "hat/t/b.txt", "with blank/ü.txt"]
+    here = os.path.relpath(base)
+    for name in (str(base), f"{base}/", f"file://{base}", here, f"./{here}"):
+        assert sorted(r["source_path"] for r in files.load(spark, name).collect()) == want, name
+
+
+def test_a_file_prepared_twice(spark, folder):
+    got = files.load(spark, str(folder / "sample.txt"))
+    both = files.drop_loaded(got.unionByName(got))
+    assert sorted(rows(both, "status")) == [("duplicate",), ("loaded",)]
+    assert rows(files.load_stats(both), "loaded_files", "skipped_duplicates", "skipped_invalid") == [(1, 1, 0)]
+    again = files.drop_loaded(got, got)
+    assert files.prepare_sentences(again.where("status = 'loaded'")).count() == 0
+    assert rows(files.load_stats(again), "loaded_files", "skipped_duplicates", "skipped_invalid") == [(0, 1, 0)]
+
+
 def test_single_file_and_errors(spark, folder):
     assert rows(files.load(spark, str(folder / "deep" / "B.TXT")), "source_path", "content") == [("B.TXT", "one\ntwo")]
     with pytest.raises(FileNotFoundError):
@@ -51,6 +75,30 @@ def test_zip_by_content(spark, tmp_path):
     assert rows(files.lines_of(got), "line_no", "original_text", "normalized_text") == [(1, "Hello, WORLD!\r", "hello world"), (2, "Another   line.", "another line")]
 
 
+def test_zip_behind_other_bytes_and_in_chunks(spark, tmp_path, monkeypatch):
+    path = tmp_path / "with blank.bin"
+    with zipfile.ZipFile(path, "w") as out:
+        for i in range(9):
+            out.writestr(f"m{i}.txt", f"line {i}")
+    path.write_bytes(b"a stub before the archive" + path.read_bytes())
+    got = files.load(spark, str(path))
+    assert sorted(rows(got, "source_path", "content")) == [(f"m{i}.txt", f"line {i}") for i in range(9)]
+
+
+def test_index_rejects_repeated_ids_and_unindexed_lengths(spark, tmp_path):
+    one = spark.createDataFrame([(1, "ab", "ab", "f", 1), (1, "cd", "cd", "f", 2)], "sentence_id long, original_text string, normalized_text string, source_path string, line_no int")
+    with pytest.raises(ValueError, match="stands 2 times"):
+        index_store.save_index(one, str(tmp_path / "i"), [2])
+    with pytest.raises(ValueError, match="positive"):
+        index_store.save_index(one, str(tmp_path / "i"), [0])
+    index_store.save_index(one.limit(1), str(tmp_path / "i"), [2])
+    index = index_store.load_index(spark, str(tmp_path / "i"), [2])
+    seeds = spark.createDataFrame([("ab",), ("zz",)], "seed string")
+    assert sorted(rows(search.frequency_of(seeds, index, [2]), "seed", "frequency")) == [("ab", 1), ("zz", 0)]
+    with pytest.raises(Exception, match="gram size not indexed"):
+        search.frequency_of(spark.createDataFrame([("abc",)], "seed string"), index, [2]).collect()
+
+
 def test_second_load_is_a_duplicate(spark, folder):
     got = files.load(spark, str(folder))
     again = files.drop_loaded(got, got)
@@ -62,7 +110,7 @@ def test_second_load_is_a_duplicate(spark, folder):
 def test_index_round_trip(spark, tmp_path, folder):
     prepared = files.prepare_sentences(files.load(spark, str(folder)))
     path = str(tmp_path / "index")
-    mark = index_store.fingerprint(str(folder / "sample.txt"))
+    mark = index_store.fingerprint(spark, str(folder / "sample.txt"))
     index_store.save_index(prepared, path, [2, 3], mark)
     index = index_store.load_index(spark, path, [2, 3], mark)
     assert index["sentences"].count() == 4

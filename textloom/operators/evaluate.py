@@ -102,11 +102,11 @@ def missing_pairs(rows: DataFrame, queries: DataFrame, algorithms: list[str]) ->
 
 
 def signature(matches: DataFrame, columns: list[str]) -> DataFrame:
-    """Per query_id an order-independent signature of its matches: count, and sums of two hashes."""
-    keyed = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
-    h = F.crc32(F.concat_ws("|", *keyed).cast("binary"))
-    g = F.crc32(F.reverse(F.concat_ws("|", *keyed)).cast("binary"))
-    return matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("sum_1"), F.sum(g).alias("sum_2"))
+    """Per query_id an order-independent signature of a multiset: count, and sums of two 32-bit halves of an md5; null differs from the empty string."""
+    keyed = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]
+    digest = F.md5(F.concat_ws("\u0001", *keyed).cast("binary"))
+    half = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    return matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum(half(1)).alias("sum_1"), F.sum(half(9)).alias("sum_2"))
 
 
 def naive_work(queries: DataFrame, sentences: DataFrame) -> DataFrame:

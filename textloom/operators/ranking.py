@@ -77,7 +77,9 @@ class SearchEngine:
 
     def raw_candidates(self, queries: DataFrame) -> DataFrame:
         """Matches of `query_id, q`, before ranking."""
-        return self.search_with(queries, self._built().select("sentence_id", F.col("normalized_text").alias("n")))
+        sentences = self._built()
+        part = ["part"] if "part" in sentences.columns else []
+        return self.search_with(queries, sentences.select("sentence_id", F.col("normalized_text").alias("n"), *part))
 
     def complete(self, prefixes: DataFrame, k: int = 5, on_candidates: Callable[[DataFrame], None] | None = None) -> DataFrame:
         """The k best completions of `query_id, prefix`; prefixes that normalize to nothing have none."""

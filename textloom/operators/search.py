@@ -7,6 +7,9 @@ give no rows, nor do null sentences.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,10 +21,13 @@ from textloom.session import spread
 #: Sentences are cut into windows of this many start positions before positions are enumerated, so that no row
 #: carries a long text through an explode.
 WINDOW = 256
-#: Characters of query text up to which a table of queries is broadcast.
+#: Characters up to which a table of queries, or the starts that a stored index gives for them, is broadcast.
 BROADCAST_CHARS = 8_000_000
-#: Grams up to which a lookup in a stored index is written into the scan as a filter, so that Parquet skips the rest.
-LOOKUP_GRAMS = 4000
+#: Queries, and grams of theirs, up to which a stored index is read by filters that Parquet skips by; more are joined.
+FEW_QUERIES, LOOKUP_GRAMS = 500, 10_000
+#: Postings of their anchors, known from the stored frequencies, up to which the starts are worked out on the driver; and
+#: folders of stored sentences up to which they are named in a filter.
+FEW_STARTS, FEW_PARTS = 50_000, 5_000
 #: Largest length gap of a short word, longest short word, and most results of the hybrid.
 SHORT_WORD, HYBRID_CAP = 4, 2000
 
@@ -43,11 +49,15 @@ def _hinted(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def windows(sentences: DataFrame, reach: int) -> DataFrame:
-    """`sentence_id, at, text, starts`: overlapping windows; each holds `starts` start positions and `reach` characters more."""
-    rows = spread(sentences.select("sentence_id", "n").where(F.length("n") > 0)).withColumn("len", F.length("n"))
-    cut = rows.select("sentence_id", "n", "len", F.explode(F.sequence(F.lit(0), F.col("len") - 1, F.lit(WINDOW))).alias("at"))
-    return cut.select("sentence_id", "at", F.substring("n", F.col("at") + 1, F.lit(WINDOW + reach)).alias("text"), F.least(F.lit(WINDOW), F.col("len") - F.col("at")).alias("starts"))
+def windows(sentences: DataFrame, reach: int, dealt: bool = True) -> DataFrame:
+    """`sentence_id, at, text, starts`: overlapping windows; each holds `starts` start positions and `reach` characters more.
+
+    `dealt`: a small table in few files is dealt out over all cores first.
+    """
+    rows = sentences.where("length(n) > 0").select("sentence_id", "n")
+    rows = (spread(rows) if dealt else rows).selectExpr("sentence_id", "n", "length(n) as len")
+    cut = rows.selectExpr("sentence_id", "n", "len", f"explode(sequence(0, len - 1, {WINDOW})) as at")
+    return cut.selectExpr("sentence_id", "at", f"substring(n, at + 1, {WINDOW + reach}) as text", f"least({WINDOW}, len - at) as starts")
 
 
 def search_naive(queries: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -99,16 +109,21 @@ def choose_q(m: Column, q: int) -> Column:
 
 
 def _near(hits: DataFrame) -> DataFrame:
-    """`query_id, q, sentence_id, starts`: per query and sentence the distinct starts within one of (position - query_start), in one exchange."""
-    aligned = hits.groupBy("query_id", "q", "sentence_id").agg(F.collect_set(F.col("position") - F.col("query_start")).alias("ds"))
-    return aligned.select("query_id", "q", "sentence_id", F.array_distinct(F.flatten(F.transform("ds", lambda d: F.array(d - 1, d, d + 1)))).alias("starts"))
+    """`query_id, q, sentence_id, at, starts`: per query and window the distinct starts within one of (position - query_start), in one exchange."""
+    around = hits.selectExpr("query_id", "q", "sentence_id", "explode(sequence(position - query_start - 1, position - query_start + 1)) as start")
+    starts = around.where("start >= 0").selectExpr("query_id", "q", "sentence_id", "start", f"start - start % {WINDOW} as at")
+    return starts.groupBy("query_id", "q", "sentence_id", "at").agg(F.collect_set("start").alias("starts"))
+
 
+def _slices(near: DataFrame, sentences: DataFrame, longest: int, few: bool = False) -> DataFrame:
+    """Texts at the starts. Windows meet starts, so neither the join nor the explode carries a long text, and a slice is cut from a window's begin.
 
-def _slices(near: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Texts at the starts; a sentence is joined once per query, not once per start."""
-    at = near.join(sentences.select("sentence_id", "n"), "sentence_id").select("query_id", "q", "sentence_id", "n", F.explode("starts").alias("match_start"))
-    inside = at.where((F.col("match_start") >= 0) & (F.col("match_start") < F.length("n")))
-    return inside.select("query_id", "q", "sentence_id", "match_start", F.substring("n", F.col("match_start") + 1, F.length("q") + 1).alias("t"))
+    `few`: the starts are known to be few enough to be broadcast, and the sentences stay where they are.
+    """
+    cut = windows(sentences, longest + 1, not few).selectExpr("sentence_id", "at", "text", "starts as n_starts")
+    met = cut.join(F.broadcast(near) if few else near, ["sentence_id", "at"])
+    slices = "transform(filter(starts, s -> s < at + n_starts), s -> struct(s as match_start, substring(text, s - at + 1, length(q) + 1) as t))"
+    return met.selectExpr("query_id", "q", "sentence_id", f"inline({slices})")
 
 
 def search_qgram(queries: DataFrame, sentences: DataFrame, q: int = 3) -> DataFrame:
@@ -120,7 +135,7 @@ def search_qgram(queries: DataFrame, sentences: DataFrame, q: int = 3) -> DataFr
     sizes = sorted({1, 2, q})
     grams = query_grams(asked.rows.where(F.length("q") >= 2 * size), sizes).where(F.col("gram_size") == size)
     hits = postings(sentences, sizes).join(_hinted(grams, asked.small), ["gram_size", "gram"])
-    found = verify.verified(_slices(_near(hits), sentences), ["query_id", "sentence_id"], asked.longest).select(MATCH_COLUMNS)
+    found = verify.verified(_slices(_near(hits), sentences, asked.longest), ["query_id", "sentence_id"], asked.longest).select(MATCH_COLUMNS)
     return found.unionByName(_scan(asked.rows.where(F.length("q") < 2 * size), sentences, asked))
 
 
@@ -129,13 +144,105 @@ def seed_frequency(sentences: DataFrame, sizes: list[int]) -> DataFrame:
     return postings(sentences, sizes).groupBy("gram_size", "gram").agg(F.count(F.lit(1)).alias("frequency"))
 
 
+def indexed_only(grams: DataFrame, sizes: list[int]) -> DataFrame:
+    """`grams` with a column that fails the job at the first gram of a size that isn't among `sizes` (J17, J20)."""
+    known = F.col("gram_size").isin(sizes)
+    return grams.where(F.when(known, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("gram size not indexed: "), F.col("gram_size"))).cast("boolean")))
+
+
+def frequency_of(seeds: DataFrame, index: dict[str, DataFrame], sizes: list[int]) -> DataFrame:
+    """`seed, frequency` from a stored index for `seeds` (`seed`); 0 if absent, an error for a length that isn't indexed."""
+    grams = indexed_only(seeds.select("seed", F.length("seed").alias("gram_size"), F.col("seed").alias("gram")), sizes)
+    stored = index["frequencies"].select("gram_size", "gram", "frequency")
+    return grams.join(stored, ["gram_size", "gram"], "left").select("seed", F.coalesce("frequency", F.lit(0)).cast("long").alias("frequency"))
+
+
 def _lookup(stored: DataFrame, grams: DataFrame, small: bool) -> DataFrame:
-    """The rows of a stored index table for the given grams; few grams become a pushed filter, more a join."""
-    wanted = grams.select("gram_size", "gram").distinct()
-    few = wanted.limit(LOOKUP_GRAMS + 1).collect() if small else []
-    if few and len(few) <= LOOKUP_GRAMS:
-        stored = stored.where(F.col("gram_size").isin(sorted({r["gram_size"] for r in few})) & F.col("gram").isin(sorted({r["gram"] for r in few})))
-    return stored.join(_hinted(wanted, small), ["gram_size", "gram"], "left_semi")
+    """The rows of a stored index table for the grams of a large table of queries."""
+    return stored.join(_hinted(grams.select("gram_size", "gram").distinct(), small), ["gram_size", "gram"], "left_semi")
+
+
+def _filtered(stored: DataFrame, grams: set[tuple[int, str]]) -> DataFrame:
+    """The rows of a stored index table for few grams, as a filter that reaches the scan: sizes prune folders, grams skip row groups and pages."""
+    return stored.where(F.col("gram_size").isin(sorted({s for s, _ in grams})) & F.col("gram").isin(sorted({g for _, g in grams})))
+
+
+def best_plan(q: str, frequency: dict[tuple[int, str], int], sizes: list[int]) -> list[tuple[int, str, int]]:
+    """`gram_size, gram, query_start` of both anchors of one query, as `anchor_plan` has them; empty without a plan."""
+    best = None
+    for size in sizes:
+        windows_ = [(frequency.get((size, q[i : i + size]), 0), i) for i in range(len(q) - size + 1)]
+        first = None
+        for begin in range(size, len(windows_)):
+            ended = windows_[begin - size]
+            first = ended if first is None else min(first, ended)
+            key = (first[0] + windows_[begin][0], -size, first[1], begin)
+            best = key if best is None else min(best, key)
+    if best is None:
+        return []
+    _, size, *starts = best
+    return [(-size, q[i : i - size], i) for i in starts]
+
+
+def _near_here(postings_: DataFrame, anchors: list[tuple], q_type: str) -> tuple[DataFrame, np.ndarray]:
+    """`_near` of few postings, counted before they are read, worked out on the driver; and the ids of their sentences."""
+    names = ["query_id", "q", "gram_size", "gram", "query_start"]
+    wanted = pa.table(dict(zip(names, map(list, zip(*anchors))))).cast(pa.schema([pa.field("query_id", pa.table({"x": [anchors[0][0]]}).schema[0].type), ("q", pa.string()), ("gram_size", pa.int32()), ("gram", pa.string()), ("query_start", pa.int32())]))
+    hits = postings_.selectExpr("int(gram_size) as gram_size", "gram", "sentence_id", "position").toArrow()
+    met = hits.join(wanted, ["gram_size", "gram"], join_type="inner", use_threads=False)
+    first = pc.subtract(met["position"], met["query_start"]).to_numpy()
+    start = np.concatenate([first - 1, first, first + 1])
+    rows = pa.concat_tables([met.select(["query_id", "q", "sentence_id"])] * 3).append_column("starts", pa.array(start, pa.int32()))
+    rows = rows.append_column("at", pa.array(start // WINDOW * WINDOW, pa.int32())).filter(pa.array(start >= 0))
+    near = rows.group_by(["query_id", "q", "sentence_id", "at"], use_threads=False).aggregate([("starts", "distinct")]).rename_columns(["query_id", "q", "sentence_id", "at", "starts"])
+    spark = postings_.sparkSession
+    made = spark.createDataFrame(near) if near.num_rows else spark.createDataFrame([], f"query_id {q_type}, q string, sentence_id long, at int, starts array<int>")
+    return made, near["sentence_id"].to_numpy()
+
+
+def _holding(index: dict, sentences: DataFrame, ids: np.ndarray) -> DataFrame:
+    """The stored sentences, of the folders alone that can hold these ids."""
+    if "layout" not in index or "part" not in index["sentences"].columns:
+        return sentences
+    low, high, parts = index["layout"]
+    wanted = np.unique((ids.astype(object) - low) * parts // (high - low + 1))
+    if len(wanted) == parts or len(wanted) > FEW_PARTS:
+        return sentences
+    return sentences.where(F.col("part").isin([int(x) for x in wanted]))
+
+
+def _search_few(queries: list[tuple[object, str]], q_type: str, sentences: DataFrame, sizes: list[int], minimum: int, index: dict[str, DataFrame]) -> DataFrame:
+    """Few queries over a stored index: one read of the frequencies of their grams, planned on the driver, one read of the anchors' postings."""
+    spark = sentences.sparkSession
+    grams = {(s, q[i : i + s]) for _, q in queries for s in sizes for i in range(len(q) - s + 1)}
+    rows = _filtered(index["frequencies"], grams).select("gram_size", "gram", "frequency").collect() if grams else []
+    frequency = {(r["gram_size"], r["gram"]): r["frequency"] for r in rows}
+    longest = max(len(q) for _, q in queries)
+    anchors, left = [], []
+    for query_id, q in queries:
+        plan = best_plan(q, frequency, sizes) if len(q) >= max(minimum, 2 * sizes[0]) else []
+        if plan:
+            anchors += [(query_id, q, size, gram, start) for size, gram, start in plan if (size, gram) in frequency]
+        else:
+            left.append((query_id, q))
+    schema = f"query_id {q_type}, q string"
+    out = None
+    if anchors:
+        met = _filtered(index["postings"], {(size, gram) for _, _, size, gram, _ in anchors})
+        asked = spark.createDataFrame(anchors, f"{schema}, gram_size int, gram string, query_start int")
+        if sum(frequency[size, gram] for _, _, size, gram, _ in anchors) <= FEW_STARTS:
+            near, ids = _near_here(met, anchors, q_type)
+            if len(ids):
+                out = verify.verified(_slices(near, _holding(index, sentences, ids), longest, True), ["query_id", "sentence_id"], longest).select(MATCH_COLUMNS)
+            elif not left:
+                return verify.verified(asked.selectExpr("query_id", "q", "0L as sentence_id", "0 as match_start", "'' as t").limit(0), ["query_id", "sentence_id"], longest).select(MATCH_COLUMNS)
+        else:
+            near = _near(met.join(F.broadcast(asked), ["gram_size", "gram"]))
+            out = verify.verified(_slices(near, sentences, longest), ["query_id", "sentence_id"], longest).select(MATCH_COLUMNS)
+    if left or out is None:
+        scanned = _scan_block(F.broadcast(spark.createDataFrame(left, schema)), sentences, longest)
+        out = scanned if out is None else out.unionByName(scanned)
+    return out
 
 
 def query_seeds(queries: DataFrame, sentences: DataFrame, sizes: list[int]) -> DataFrame:
@@ -181,8 +288,6 @@ def anchor_plan(pairs: DataFrame, minimum_anchor_length: int = 2) -> DataFrame:
 
 def _contexts(plan: DataFrame, sentences: DataFrame, sizes: list[int], small: bool, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """`query_id, q, sentence_id, starts` around the occurrences of both anchors; `small` if the plan, two rows a query, may be broadcast."""
-    if index and small:
-        plan = plan.sparkSession.createDataFrame(plan.collect(), plan.schema)  # one row a query, of queries measured as small
     anchors = plan.select("query_id", "q", "gram_size", F.inline(F.array(F.struct(F.col("first_gram").alias("gram"), F.col("first_start").alias("query_start")), F.struct(F.col("second_gram").alias("gram"), F.col("second_start").alias("query_start")))))
     source = _lookup(index["postings"], anchors, small) if index else postings(sentences, sizes)
     return _near(source.join(_hinted(anchors, small), ["gram_size", "gram"]))
@@ -204,15 +309,21 @@ def context_slices(contexts: DataFrame, sentences: DataFrame) -> DataFrame:
 def search_bi_anchor(queries: DataFrame, sentences: DataFrame, sizes: tuple[int, ...] = (1, 2, 3), minimum_anchor_length: int = 2, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """The two rarest windows of a query that don't overlap are looked up: one edit leaves one of them whole. Other queries go to the exhaustive scan.
 
-    With the `postings` and `frequencies` of a stored index (`sources.index_store`) the corpus grams aren't made again.
+    With the `postings` and `frequencies` of a stored index (`sources.index_store`) the corpus grams aren't made again;
+    up to `FEW_QUERIES` queries are then planned on the driver and read just their grams.
     """
     sizes = sorted(set(sizes))
     if not sizes or sizes[0] < 1:
         raise ValueError("gram sizes are positive")
+    if index:
+        few = queries.where(F.length("q") > 0).select("query_id", "q").limit(FEW_QUERIES + 1).collect()
+        if few and len(few) <= FEW_QUERIES and sum(len(r["q"]) for r in few) * len(sizes) <= LOOKUP_GRAMS:
+            rows = [(r["query_id"], r["q"]) for r in few]
+            return _search_few(rows, queries.schema["query_id"].dataType.simpleString(), sentences, sizes, minimum_anchor_length, index)
     asked = Asked(queries)
     plan = anchor_plan(anchor_pairs(_query_seeds(asked.rows, sentences, sizes, asked.small, index)), minimum_anchor_length)
     contexts = _contexts(plan, sentences, sizes, asked.small, index)
-    found = verify.verified(_slices(contexts, sentences), ["query_id", "sentence_id"], asked.longest).select(MATCH_COLUMNS)
+    found = verify.verified(_slices(contexts, sentences, asked.longest), ["query_id", "sentence_id"], asked.longest).select(MATCH_COLUMNS)
     planned = F.length("q") >= max(minimum_anchor_length, 2 * sizes[0])
     return found.unionByName(_scan(asked.rows.where(~planned), sentences, asked))
 

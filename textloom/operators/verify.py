@@ -83,16 +83,33 @@ def matches_at(q: Column, t: Column) -> Column:
     )
 
 
+#: Necessary for a match at a start, `may_match` as one expression; and the four kinds of match in closed form, each with
+#: the range of its slots. `p` is the common prefix of q and t, `d` the last index at which a deletion can be.
+_MAY_MATCH = """
+length(q) < 2 or left(t, int(length(q) / 2)) = left(q, int(length(q) / 2))
+or substring(t, int(length(q) / 2) + 1, length(q) - int(length(q) / 2)) = substring(q, int(length(q) / 2) + 1)
+or substring(t, int(length(q) / 2) + 2, length(q) - int(length(q) / 2)) = substring(q, int(length(q) / 2) + 1)
+or substring(t, greatest(int(length(q) / 2), 1), length(q) - int(length(q) / 2)) = substring(q, int(length(q) / 2) + 1)"""
+_KINDS = """
+case when m > 0 and p >= m then struct('exact' as edit_type, 0 as low, 0 as high, m as correct_characters) end,
+case when m > 0 and n >= m and p < m and substring(q, p + 2, m) = substring(t, p + 2, m - p - 1)
+  then struct('replacement' as edit_type, p as low, p as high, m - 1 as correct_characters) end,
+case when m > 0 and n > m and substring(t, p + 2, m + 1) = substring(q, p + 1, m)
+  then struct('insertion' as edit_type, length(rtrim(substring(t, p + 1, 1), left(t, p + 1))) as low, p as high, m as correct_characters) end,
+case when m > 1 and n >= m - 1 and substring(q, d + 2, m) = substring(t, d + 1, m - 1 - d)
+  then struct('deletion' as edit_type, length(rtrim(substring(q, d + 1, 1), left(q, d + 1))) as low, d as high, m - 1 as correct_characters) end"""
+
+
 def _common_prefix(rows: DataFrame, keep: list[str], longest: int) -> DataFrame:
     """Adds `p`, the length of the common prefix of q and t, found bit by bit, so that it stays in generated code.
 
     `longest` is at least the length of every query.
     """
-    rows = rows.select(*keep, "q", "t", F.lit(0).alias("p"))
+    rows = rows.selectExpr(*keep, "q", "t", "0 as p")
     for bit in reversed(range(max(1, longest).bit_length())):
-        to = F.col("p") + (1 << bit)
-        more = (to <= F.length("q")) & (to <= F.length("t")) & (F.left("q", to) == F.left("t", to))
-        rows = rows.select(*keep, "q", "t", F.when(more, to).otherwise(F.col("p")).alias("p"))
+        to = f"p + {1 << bit}"
+        more = f"{to} <= length(q) and {to} <= length(t) and left(q, {to}) = left(t, {to})"
+        rows = rows.selectExpr(*keep, "q", "t", f"case when {more} then {to} else p end as p")
     return rows
 
 
@@ -103,19 +120,9 @@ def verified(starts: DataFrame, keep: list[str], longest: int) -> DataFrame:
     index before p is as good exactly if the characters from there to p are equal, so the valid ones end at p and begin
     where the run of p's character begins.
     """
-    keep = [*keep, "match_start"]
-    rows = _common_prefix(starts.where(may_match(F.col("q"), F.col("t"))), keep, longest)
-    q, t, p, m, n = F.col("q"), F.col("t"), F.col("p"), F.length("q"), F.length("t")
-    d = F.least(p, m - 1)
-    run = lambda text, at: F.length(F.rtrim(F.left(text, at + 1), F.substring(text, at + 1, F.lit(1))))
-    found = lambda ok, kind, low, high, correct: F.when(ok, F.struct(F.lit(kind).alias("edit_type"), low.cast("int").alias("low"), high.cast("int").alias("high"), correct.cast("int").alias("correct_characters")))
-    any_ = m > 0
-    kinds = F.array(
-        found(any_ & (p >= m), "exact", F.lit(0), F.lit(0), m),
-        found(any_ & (n >= m) & (p < m) & (F.substring(q, p + 2, m) == F.substring(t, p + 2, m - p - 1)), "replacement", p, p, m - 1),
-        found(any_ & (n > m) & (F.substring(t, p + 2, m + 1) == F.substring(q, p + 1, m)), "insertion", run(t, p), p, m),
-        found((m > 1) & (n >= m - 1) & (F.substring(q, d + 2, m) == F.substring(t, d + 1, m - 1 - d)), "deletion", run(q, d), d, m - 1),
-    )
-    each = rows.select(*keep, F.inline(kinds)).where(F.col("edit_type").isNotNull())
-    slots = each.select(*keep, "edit_type", F.explode(F.sequence("low", "high")).alias("i"), "correct_characters")
-    return slots.select(*keep, "edit_type", F.when(F.col("edit_type") != "exact", F.col("i")).alias("edit_index"), "correct_characters")
+    keep = [f"`{c}`" for c in (*keep, "match_start")]
+    rows = _common_prefix(starts.where(_MAY_MATCH), keep, longest)
+    sized = rows.selectExpr(*keep, "q", "t", "p", "length(q) as m", "length(t) as n", "least(p, length(q) - 1) as d")
+    each = sized.selectExpr(*keep, f"inline(array({_KINDS}))").where("edit_type is not null")
+    slots = each.selectExpr(*keep, "edit_type", "explode(sequence(low, high)) as i", "correct_characters")
+    return slots.selectExpr(*keep, "edit_type", "case when edit_type <> 'exact' then i end as edit_index", "correct_characters")

@@ -12,12 +12,16 @@ from textloom.operators import search
 from textloom.operators.numbering import row_numbers
 
 
+#: The seed of all draws; any other gives samples of the same kind.
+SEED = 7141
+
+
 def draw(key: Column, seed: int) -> Column:
     """A pseudo-random order of keys, the same in any SQL engine with md5."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def stratified_order(df: DataFrame, source: str, row_id: str, seed: int = 20260812) -> DataFrame:
+def stratified_order(df: DataFrame, source: str, row_id: str, seed: int = SEED) -> DataFrame:
     """Adds `turn` (the row's number within its source) and `source_draw`: ordered by both, sources take turns.
 
     Rows are numbered over all sources at once, by range, and each source's first number is taken off, so that a source
@@ -31,11 +35,11 @@ def stratified_order(df: DataFrame, source: str, row_id: str, seed: int = 202608
 
 
 def _cut(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """The first n rows by `keys`, exactly: a sort, no single task beyond the top-n merge."""
-    return df.orderBy(*keys).limit(n)
+    """The first n rows by `keys`, numbered by range: no task holds more than a range of them, however large n is."""
+    return row_numbers(df, keys, "__n").where(F.col("__n") < n).drop("__n")
 
 
-def stratified_slice(df: DataFrame, source: str, row_id: str, fraction: float, seed: int = 20260812) -> DataFrame:
+def stratified_slice(df: DataFrame, source: str, row_id: str, fraction: float, seed: int = SEED) -> DataFrame:
     """ceil(n * fraction) rows, the sources taking turns."""
     n = ceil(df.count() * fraction)
     return _cut(stratified_order(df, source, row_id, seed), ["turn", "source_draw", row_id], n).drop("turn", "source_draw")
@@ -65,7 +69,7 @@ def _few(df: DataFrame, key: Column, n: int, seed: int) -> DataFrame:
     return df.orderBy(draw(key, seed), key).limit(n)
 
 
-def generate(sentences: DataFrame, per_category: int = 50, seed: int = 20260812) -> DataFrame:
+def generate(sentences: DataFrame, per_category: int = 50, seed: int = SEED) -> DataFrame:
     """A workload from `sentence_id, n`: `query_id, query_text, query_length, length_bucket, primary_category, categories, mutation_type, source_sentence_id, source_start`.
 
     Substrings of lengths 1 to 6, whole words, pieces inside words, pieces across words, both ends of sentences, the
@@ -122,17 +126,20 @@ def execution_subset(queries: DataFrame, least_length: int = 6) -> DataFrame:
     return rows.groupBy("category").agg(F.min("query_id").alias("query_id"))
 
 
+#: Words of the made-up corpora.
+VOCABULARY = ("harbor", "lantern", "meadow", "orchard", "pebble", "ribbon", "saddle", "thicket")
+
+
 def synthetic_corpus(spark: SparkSession, kind: str, n: int = 300) -> DataFrame:
     """`sentence_id, n`: a made-up corpus of `n` sentences: synthetic, repetitive, high_frequency or cross_word."""
     ids = spark.range(n).withColumnRenamed("id", "sentence_id")
-    six = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
-    place = lambda k: F.floor((F.col("sentence_id") + 1) * (k + 2) * 7919 / 11) % 6 + 1
-    pick = lambda k: F.element_at(F.array(*[F.lit(x) for x in six]), place(k).cast("int"))
+    place = lambda k: F.floor((F.col("sentence_id") + 1) * (k + 2) * 6007 / 13) % 8 + 1
+    pick = lambda k: F.element_at(F.array(*[F.lit(x) for x in VOCABULARY]), place(k).cast("int"))
     forms = {
         "synthetic": F.concat_ws(" ", *[pick(k) for k in range(10)]),
-        "repetitive": F.when(F.col("sentence_id") % 2 == 0, F.repeat(F.lit("a"), 80)).otherwise(F.trim(F.repeat(F.lit("the "), 20))),
-        "high_frequency": F.concat(F.lit("the common phrase number "), (F.col("sentence_id") % 10).cast("string")),
-        "cross_word": F.concat(F.lit("ending colour "), F.col("sentence_id").cast("string"), F.lit(" ring column")),
+        "repetitive": F.when(F.col("sentence_id") % 2 == 0, F.repeat(F.lit("oo"), 45)).otherwise(F.trim(F.repeat(F.lit("so it "), 15))),
+        "high_frequency": F.concat(F.lit("one usual remark about item "), (F.col("sentence_id") % 10).cast("string")),
+        "cross_word": F.concat(F.lit("sliding corner "), F.col("sentence_id").cast("string"), F.lit(" wing cover")),
     }
     if kind not in forms:
         raise ValueError(f"kind is one of {sorted(forms)}")

@@ -183,7 +183,7 @@ def generated_workload(spark, folder):
 def synthetic_corpora(spark, folder):
     """Made-up corpora searched for one phrase each: matches per corpus."""
     out = None
-    for kind, phrase in (("synthetic", "alpha"), ("repetitive", "aaaa"), ("high_frequency", "common"), ("cross_word", "ing col")):
+    for kind, phrase in (("synthetic", "harbor"), ("repetitive", "oooo"), ("high_frequency", "remark"), ("cross_word", "ing cov")):
         q = spark.createDataFrame([(kind, phrase)], "query_id string, q string")
         part = search.search_bi_anchor(q, workload.synthetic_corpus(spark, kind)).groupBy("query_id").agg(F.count(F.lit(1)).alias("matches"))
         out = part if out is None else out.unionByName(part)
@@ -205,7 +205,7 @@ _DISC = "percentile_disc({p}) within group (order by {c})"
 _FREQ = "f as (select gram_size, gram, count(*) as frequency from g group by all)"
 _LADDER_NAMES = "(values ('1'), ('2'), ('3'), ('4'), ('5'), ('6'), ('7-8'), ('9-12'), ('13-20'), ('21+')) b(length_bucket)"
 _RATIO = "r as (select o.algorithm_id, b.median / greatest(1.0, o.median) as r, b.median - o.median as saving from m o join m b on b.query_id = o.query_id and b.algorithm_id = 'run1' where o.algorithm_id <> 'run1')"
-_DRAW = "md5('20260812:' || {0})"
+_DRAW = f"md5('{workload.SEED}:' || {{0}})"
 _STRATA = f"t as (select sentence_id, source_path, cast(row_number() over (partition by source_path order by {_DRAW.format('sentence_id')}, sentence_id) as int) as turn, {_DRAW.format('source_path')} as source_draw from prepared_sentences)"
 
 
@@ -213,15 +213,15 @@ def _disc(c: str, p: float) -> str:
     return _DISC.format(p=p / 100, c=c)
 
 
-_SIX = "['alpha', 'beta', 'gamma', 'delta', 'omega', 'sigma']"
+_VOCABULARY = str(list(workload.VOCABULARY))
 _SYNTHETIC = "with i as (select unnest(generate_series(0, 299)) as id), " + SEARCH.replace(
     CORPUS,
     f"""s as (
-  select id as sentence_id, array_to_string([{_SIX}[(id + 1) * (k + 2) * 7919 // 11 % 6 + 1] for k in generate_series(0, 9)], ' ') as n, 'synthetic' as kind from i
-  union all select id, case when id % 2 = 0 then repeat('a', 80) else trim(repeat('the ', 20)) end, 'repetitive' from i
-  union all select id, 'the common phrase number ' || id % 10, 'high_frequency' from i
-  union all select id, 'ending colour ' || id || ' ring column', 'cross_word' from i)""",
-).replace(ASKED, "q as (select *, cast(length(q) as int) as m from (values ('synthetic', 'alpha'), ('repetitive', 'aaaa'), ('high_frequency', 'common'), ('cross_word', 'ing col')) v(query_id, q))").replace("from s join q on ", "from s join q on kind = query_id and (").replace(
+  select id as sentence_id, array_to_string([{_VOCABULARY}[(id + 1) * (k + 2) * 6007 // 13 % 8 + 1] for k in generate_series(0, 9)], ' ') as n, 'synthetic' as kind from i
+  union all select id, case when id % 2 = 0 then repeat('oo', 45) else trim(repeat('so it ', 15)) end, 'repetitive' from i
+  union all select id, 'one usual remark about item ' || id % 10, 'high_frequency' from i
+  union all select id, 'sliding corner ' || id || ' wing cover', 'cross_word' from i)""",
+).replace(ASKED, "q as (select *, cast(length(q) as int) as m from (values ('synthetic', 'harbor'), ('repetitive', 'oooo'), ('high_frequency', 'remark'), ('cross_word', 'ing cov')) v(query_id, q))").replace("from s join q on ", "from s join q on kind = query_id and (").replace(
     "contains(n, substring(q, m // 2 + 1))),", "contains(n, substring(q, m // 2 + 1)))),"
 ) + " select query_id, count(*) as matches from e group by query_id"
 
@@ -249,7 +249,9 @@ k as (select case when l <= 6 then cast(l as varchar) when l <= 8 then '7-8' whe
 select b.length_bucket, cast(coalesce(queries, 0) as bigint) as queries, cast(coalesce(with_results, 0) as bigint) as with_results, cast(coalesce(results, 0) as bigint) as results from {_LADDER_NAMES} left join k on k.length_bucket = b.length_bucket""",
     "by_category": """with d as (select distinct query_id, unnest(categories) as category from queries), c as (select query_id, count(*) as results from completions where query_id is not null group by 1)
 select category, count(*) as queries, cast(coalesce(sum(results), 0) as bigint) as results from d left join c on c.query_id = d.query_id group by category""",
-    "signature": "select query_id, count(*) as n from completions where query_id is not null group by query_id",
+    "signature": """with d as (
+  select query_id, md5(completed_sentence || chr(1) || source_text || chr(1) || line_no || chr(1) || coalesce(cast(score as varchar), chr(0))) as h from completions where query_id is not null)
+select query_id, count(*) as n, cast(sum(cast('0x' || substring(h, 1, 8) as bigint)) as bigint) as sum_1, cast(sum(cast('0x' || substring(h, 9, 8) as bigint)) as bigint) as sum_2 from d group by query_id""",
     "multiset_diff": f"""with o as (with {SEARCH} {FOUND}), a as ({SEARCH_SQL['search_hybrid']}),
 t as (select *, 1 as o, 0 as a from o union all select *, 0, 1 from a),
 k as (select query_id, sum(o) as o, sum(a) as a from t group by query_id, sentence_id, match_start, edit_type, edit_index, correct_characters)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 CORPUS = "s as (select sentence_id, normalized_text as n from prepared_sentences where normalized_text is not null and normalized_text <> '')"
-ASKED = "q as (select query_id, normalized_query as q, cast(length(normalized_query) as int) as m from saved_queries where normalized_query <> '')"
+_ASKED = "select distinct query_id, {0} as q from saved_queries union select distinct query_id, {0} from queries where cast(regexp_extract(query_id, '[0-9]+$') as bigint) % 50 = 0"
+ASKED = f"q as (select query_id, q, cast(length(q) as int) as m from ({_ASKED.format('normalized_query')}) a where q <> '')"
 WORKLOAD = "q as (select distinct query_id, normalized_query as q, cast(length(normalized_query) as int) as m from queries where normalized_query <> '')"
 
 #: Matches of (q, t) pairs in `c`, whose other columns are KEYS.
@@ -101,8 +102,9 @@ where m + y > 0 and match_start >= 0 and match_start + m + y <= length(n)""",
     "seed_frequency": f"with {CORPUS}, {GRAMS} select gram_size, gram, count(*) as frequency from g group by all",
     "seed_index": f"with {CORPUS}, {GRAMS} select gram_size, gram, count(*) as frequency, contains(gram, ' ') as is_boundary from g group by all",
     "indexed_seeds": f"with {CORPUS}, {GRAMS} select distinct gram from g where gram_size = 3",
-    "seed_occurrences": f"""with {CORPUS}, {GRAMS}, t as (select distinct cast(length(text) as int) as gram_size, text as gram from seed_candidates where length(text) between 1 and 3)
-select g.gram_size, g.gram, count(*) as occurrences, cast(sum(position) as bigint) as position_sum from g join t on t.gram_size = g.gram_size and t.gram = g.gram group by all""",
+    "seed_occurrences": f"""with {CORPUS}, t as (select distinct cast(length(text) as int) as gram_size, text as gram from seed_candidates where length(text) > 0),
+k as (select distinct gram_size from t), p as (select gram_size, substring(n, i + 1, gram_size) as gram, i from s, k, unnest(generate_series(0, length(n) - gram_size)) u(i) where length(n) >= gram_size)
+select t.gram_size, t.gram, count(*) as occurrences, cast(sum(i) as bigint) as position_sum from p join t on t.gram = p.gram group by all""",
     "index_hybrid": f"with {CORPUS}, {WORDS}, {VOCABULARY} select substring(word, i + 1, 3) as gram, count(distinct word) as n_words from v, unnest(generate_series(0, length(word) - 3)) u(i) where length(word) > 4 group by all",
     "hybrid_candidates": f"with {CORPUS}, {ASKED}, {WORDS}, {VOCABULARY}, {CANDIDATES} select query_id, word from cand",
     "search_hybrid": f"""with {CORPUS}, {ASKED}, {WORDS}, {VOCABULARY}, {CANDIDATES},

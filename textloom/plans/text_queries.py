@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as tx
 from textloom.operators import search
 from textloom.plans.search_sql import CORPUS, GRAMS
-from textloom.session import scratch, table
+from textloom.session import file_system, scratch, table
 from textloom.sources import files, index_store
 from textloom.streaming import session
 
@@ -21,32 +20,39 @@ def _text_files(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "text_files").where(F.col("content").isNotNull())
 
 
+def _member(file_id: int) -> str:
+    return f"d{file_id % 7}/{file_id:08d}.{'TXT' if file_id % 2 else 'txt'}"
+
+
 def _written(spark: SparkSession, folder: str) -> str:
     """The text files written out as files, one per file_id, by the executors, into the shared folder."""
     base = scratch(spark)
 
     def write(rows) -> None:
+        fs, root = file_system(base)
         for r in rows:
-            path = os.path.join(base, f"d{r['file_id'] % 7}", f"{r['file_id']:08d}.{'TXT' if r['file_id'] % 2 else 'txt'}")
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "w", encoding="utf-8", newline="") as out:
-                out.write(r["content"])
+            path = f"{root}/{_member(r['file_id'])}"
+            fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(path) as out:
+                out.write(r["content"].encode())
 
     _text_files(spark, folder).select("file_id", "content").foreachPartition(write)
     return base
 
 
+def _scanned(rows: DataFrame) -> DataFrame:
+    return rows.select("source_path", F.md5(F.col("content").cast("binary")).alias("content_md5"), "status")
+
+
 def scan_text_dir(spark, folder):
-    rows = files.load(spark, _written(spark, folder))
-    return rows.select(F.regexp_extract("source_path", r"(\d+)\.\w+$", 1).cast("long").alias("file_id"), F.md5(F.col("content").cast("binary")).alias("content_md5"), "status")
+    return _scanned(files.load(spark, _written(spark, folder)))
 
 
 def scan_text_file(spark, folder):
     """The first file alone."""
     base = _written(spark, folder)
     first = table(spark, folder, "text_files").where(F.col("content").isNotNull()).agg(F.min("file_id").alias("i")).first()["i"]
-    path = os.path.join(base, f"d{first % 7}", f"{first:08d}.{'TXT' if first % 2 else 'txt'}")
-    return files.load(spark, path).select("source_path", F.md5(F.col("content").cast("binary")).alias("content_md5"), "status")
+    return _scanned(files.load(spark, f"{base}/{_member(first)}"))
 
 
 def scan_zip(spark, folder):
@@ -54,16 +60,16 @@ def scan_zip(spark, folder):
     base = scratch(spark)
 
     def write(index: int, rows):
-        os.makedirs(base, exist_ok=True)
-        with zipfile.ZipFile(os.path.join(base, f"{index:05d}.zip"), "w", zipfile.ZIP_DEFLATED) as out:
+        fs, root = file_system(base)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/{index:05d}.zip") as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as out:
             for r in rows:
                 out.writestr(f"f/{r['file_id']:08d}.txt", r["content"])
             out.writestr("skipped.bin", b"\0")
         yield index
 
     _text_files(spark, folder).select("file_id", "content").rdd.mapPartitionsWithIndex(write).count()
-    rows = files.scan_zip(spark, f"{base}/*.zip")
-    return rows.select(F.regexp_extract("source_path", r"(\d+)\.txt$", 1).cast("long").alias("file_id"), F.md5(F.col("content").cast("binary")).alias("content_md5"), "status")
+    return _scanned(files.scan_zip(spark, f"{base}/*.zip"))
 
 
 def _as_files(spark, folder):
@@ -95,7 +101,8 @@ def word_positions(spark, folder):
 
 
 def prepare_sentences(spark, folder):
-    prepared = files.prepare_sentences(files.drop_loaded(_as_files(spark, folder)).dropDuplicates(["source_path"]).where(F.col("status") == files.LOADED))
+    loaded = files.drop_loaded(_as_files(spark, folder)).where(F.col("status") == files.LOADED)
+    prepared = files.prepare_sentences(loaded.groupBy("source_path").agg(F.min("content").alias("content")))
     return prepared.select("sentence_id", "source_path", "line_no", "original_text", "normalized_text", F.size("word_positions").alias("n_words"))
 
 
@@ -141,10 +148,11 @@ def index_roundtrip(spark, folder):
 def load_queries(spark, folder):
     """The golden workload written as one JSON document and read back."""
     path = scratch(spark)
-    os.makedirs(path, exist_ok=True)
     rows = [r.asDict(recursive=True) for r in table(spark, folder, "saved_queries").collect()]  # 48 rows, fixed
-    with open(f"{path}/queries.json", "w", encoding="utf-8") as out:
-        json.dump({"queries": rows}, out)
+    fs, root = file_system(path)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/queries.json") as out:
+        out.write(json.dumps({"queries": rows}).encode())
     return files.load_queries(spark, f"{path}/queries.json").select("query_id", "normalized_query", "length_bucket", F.concat_ws("|", "categories").alias("categories"))
 
 
@@ -180,7 +188,8 @@ QUERIES = {
 # The same patterns as in functions/text.py; the engine takes Java's classes as they are.
 _PLAIN = r"regexp_replace(regexp_replace(content, '^\x{feff}', ''), '\r\n?', chr(10), 'g')"
 _NORMAL = f"trim(regexp_replace(regexp_replace(lower(original_text), '{tx.PUNCTUATION}', '', 'g'), '{tx.BLANK}+', ' ', 'g'))"
-_FILES = "select distinct source_text, content from text_files"
+_FILES = "select source_text, content from text_files"
+_PATH = "printf('d%d/%08d', file_id % 7, file_id) || case when file_id % 2 = 1 then '.TXT' else '.txt' end"
 _SESSION = """
 with l as (select cast(user_id as varchar) as session, event_id as turn, event_type as line from events where event_type <> 'error'),
 g as (select *, sum(case when line = 'purchase' then 1 else 0 end) over (partition by session order by turn rows unbounded preceding) as part from l)
@@ -194,12 +203,16 @@ def _ladder(value: str, ladder: tuple) -> str:
 
 
 SQL = {
-    "scan_text_dir": f"select file_id, md5({_PLAIN}) as content_md5, 'loaded' as status from text_files where content is not null",
-    "scan_text_file": f"select printf('%08d', file_id) || case when file_id % 2 = 1 then '.TXT' else '.txt' end as source_path, md5({_PLAIN}) as content_md5, 'loaded' as status from text_files where file_id = (select min(file_id) from text_files where content is not null)",
-    "scan_zip": r"select file_id, md5(regexp_replace(content, '^\x{feff}', '')) as content_md5, 'loaded' as status from text_files where content is not null",
-    "load_dedup": f"select source_text as source_path, case when content is null then 'invalid' else 'loaded' end as status, count(*) as n_files from ({_FILES}) f group by all",
-    "load_stats": f"""select cast(coalesce(sum(case when content is not null and length(source_text) % 2 = 1 then 1 else 0 end), 0) as bigint) as loaded_files, cast(coalesce(sum(case when content is not null and length(source_text) % 2 = 0 then 1 else 0 end), 0) as bigint) as skipped_duplicates,
-cast(coalesce(sum(case when content is null then 1 else 0 end), 0) as bigint) as skipped_invalid from ({_FILES}) f""",
+    "scan_text_dir": f"select {_PATH} as source_path, md5({_PLAIN}) as content_md5, 'loaded' as status from text_files where content is not null",
+    "scan_text_file": f"select regexp_extract({_PATH}, '[^/]+$') as source_path, md5({_PLAIN}) as content_md5, 'loaded' as status from text_files where file_id = (select min(file_id) from text_files where content is not null)",
+    "scan_zip": r"select printf('f/%08d.txt', file_id) as source_path, md5(regexp_replace(content, '^\x{feff}', '')) as content_md5, 'loaded' as status from text_files where content is not null",
+    "load_dedup": f"""with k as (select source_text, content is null as bad, count(*) as n from ({_FILES}) f group by source_text, content)
+select source_text as source_path, 'invalid' as status, cast(sum(n) as bigint) as n_files from k where bad group by 1
+union all select source_text, 'loaded', count(*) from k where not bad group by 1
+union all select source_text, 'duplicate', cast(sum(n - 1) as bigint) from k where not bad group by 1 having sum(n - 1) > 0""",
+    "load_stats": f"""with k as (select length(source_text) % 2 = 0 as known, content is null as bad, count(*) as n from ({_FILES}) f group by source_text, content)
+select cast(coalesce(sum(case when not bad and not known then 1 else 0 end), 0) as bigint) as loaded_files, cast(coalesce(sum(case when bad then 0 when known then n else n - 1 end), 0) as bigint) as skipped_duplicates,
+cast(coalesce(sum(case when bad then n else 0 end), 0) as bigint) as skipped_invalid from k""",
     "normalize": f"select sentence_id, {_NORMAL} as normalized from prepared_sentences",
     "word_positions": """with w as (select sentence_id, unnest(string_split(normalized_text, ' ')) as word, generate_subscripts(string_split(normalized_text, ' '), 1) as i from prepared_sentences where normalized_text is not null),
 p as (select sentence_id, word, sum(length(word) + 1) over (partition by sentence_id order by i rows unbounded preceding) - 1 as e from w)

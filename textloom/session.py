@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -66,8 +67,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder, for files that executors write and read."""
-    return f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/textloom-{uuid.uuid4().hex}"
+    """The URI of a new folder in the shared folder, for files that executors write and read."""
+    return f"{shared_folder(spark).rstrip('/')}/textloom-{uuid.uuid4().hex}"
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI, local or not, and the path in it; works on the driver and in Python workers."""
+    scheme, found, rest = uri.partition(":")
+    if not found or "/" in scheme:
+        return pafs.LocalFileSystem(), uri
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
 
 
 def cut(df: DataFrame) -> DataFrame:

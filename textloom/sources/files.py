@@ -12,27 +12,40 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators.numbering import row_numbers
-from textloom.session import ship
+from textloom.session import file_system, partitions, ship
 
 LOADED, INVALID, DUPLICATE = "loaded", "invalid", "duplicate"
 FILE_COLUMNS = ["file_key", "source_path", "content", "status"]
 
 
+#: Bytes at the end of a file in which a ZIP archive's directory must end: its fixed part and the longest comment.
+_ZIP_END = 22 + 65_535
+#: Bytes of members, unpacked, that one task reads from an archive at a time.
+CHUNK = 64 << 20
+
+
+def _located(spark: SparkSession, path: str):
+    """Hadoop's file system and the qualified path: a relative path becomes absolute, a scheme is added."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(where)
+
+
 def _kind(spark: SparkSession, path: str) -> str:
-    """directory, zip (by its first bytes), txt; raises for a missing path or any other file."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(conf)
+    """directory, zip (by its end, whatever its name), txt; raises for a missing path or any other file."""
+    fs, where = _located(spark, path)
     if not fs.exists(where):
         raise FileNotFoundError(path)
-    if fs.getFileStatus(where).isDirectory():
+    status = fs.getFileStatus(where)
+    if status.isDirectory():
         return "directory"
     stream = fs.open(where)
     try:
-        head = bytes(b & 0xFF for b in (stream.read() for _ in range(4)) if b >= 0)
+        stream.seek(max(0, status.getLen() - _ZIP_END))
+        end = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
     finally:
         stream.close()
-    if head[:4] in (b"PK\x03\x04", b"PK\x05\x06"):
+    if zipfile.is_zipfile(io.BytesIO(end)) or b"PK\x05\x06" in end:
         return "zip"
     if path.lower().endswith(".txt"):
         return "txt"
@@ -48,7 +61,8 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 def scan_text(spark: SparkSession, path: str, directory: bool = True) -> DataFrame:
     """Text files: strict UTF-8, a leading BOM dropped, line ends made \\n. Undecodable files have null content and status invalid.
 
-    Paths are relative to the folder; one file has its bare name. Extensions count in any case.
+    Paths are relative to the folder, whichever way it is named (relative, `.`, with a scheme); one file has its bare
+    name. Extensions count in any case.
     """
     reader = spark.read.format("binaryFile")
     if directory:
@@ -56,46 +70,81 @@ def scan_text(spark: SparkSession, path: str, directory: bool = True) -> DataFra
     rows = reader.load(path).select("path", F.col("content").alias("raw"))
     name = F.element_at(F.split("path", "/"), -1)
     if directory:
-        base = path.rstrip("/").split(":", 1)[-1].lstrip("/")
-        name = F.substring_index("path", f"{base}/", -1)
+        root = _located(spark, path)[1].toString().rstrip("/")
+        name = F.substring("path", len(root) + 2, F.length("path"))
     decoded = F.when(F.is_valid_utf8(F.col("raw").cast("string")), F.col("raw").cast("string"))
     content = F.regexp_replace(F.regexp_replace(decoded, "^\ufeff", ""), "\r\n?", "\n")
     return rows.select(F.col("path").alias("file_key"), name.alias("source_path"), content.alias("content"), F.when(decoded.isNull(), INVALID).otherwise(LOADED).alias("status"))
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The .txt members of archives, in chunks that one task reads."""
     for pdf in batches:
-        for path, raw in zip(pdf["path"], pdf["content"]):
+        for path in pdf["path"]:
+            fs, at = file_system(path)
+            got, chunk, size = [], 0, 0
             try:
-                archive = zipfile.ZipFile(io.BytesIO(raw))
-            except zipfile.BadZipFile as error:
+                with fs.open_input_file(at) as raw, zipfile.ZipFile(raw) as archive:
+                    members = archive.infolist()
+            except (zipfile.BadZipFile, OSError) as error:
                 raise ValueError(f"{path} is no ZIP archive") from error
-            for member in archive.infolist():
-                if member.is_dir() or not member.filename.lower().endswith(".txt"):
-                    continue
-                try:
-                    content: str | None = archive.read(member).decode("utf-8-sig")
-                except (UnicodeDecodeError, zipfile.BadZipFile, RuntimeError, OSError):
-                    content = None
-                yield pd.DataFrame({"file_key": [f"{path}::{member.filename}"], "source_path": [member.filename], "content": [content], "status": [INVALID if content is None else LOADED]})
+            for i, member in enumerate(members):
+                if not member.is_dir() and member.filename.lower().endswith(".txt"):
+                    if size and size + member.file_size > CHUNK:
+                        chunk, size = chunk + 1, 0
+                    size += member.file_size
+                    got.append((path, chunk, i))
+            if got:
+                yield pd.DataFrame(got, columns=["path", "chunk", "member"])
+
+
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The contents of members, one at a time."""
+    for pdf in batches:
+        for path, part in pdf.groupby("path"):
+            fs, at = file_system(path)
+            with fs.open_input_file(at) as raw, zipfile.ZipFile(raw) as archive:
+                listed = archive.infolist()
+                for i in part["member"]:
+                    member = listed[i]
+                    try:
+                        content: str | None = archive.read(member).decode("utf-8-sig")
+                    except (UnicodeDecodeError, zipfile.BadZipFile, RuntimeError, OSError):
+                        content = None
+                    name = member.filename
+                    yield pd.DataFrame({"file_key": [f"{path}::{name}"], "source_path": [name], "content": [content], "status": [INVALID if content is None else LOADED]})
 
 
 def scan_zip(spark: SparkSession, path: str) -> DataFrame:
-    """The .txt members of ZIP archives (a glob reads many at once). Line ends stay as they are; bad members have status invalid."""
+    """The .txt members of ZIP archives (a glob reads many at once). Line ends stay as they are; bad members have status invalid.
+
+    Only paths and member numbers are exchanged: archives are listed, then chunks of their members are opened where
+    they are read, so neither a large archive nor a large member has to pass through one record.
+    """
     ship(spark)
-    rows = spark.read.format("binaryFile").load(path).select("path", "content")
-    return rows.mapInPandas(_members, "file_key string, source_path string, content string, status string")
+    paths = spark.read.format("binaryFile").load(path).select("path")
+    listed = paths.repartition(partitions(spark), "path").mapInPandas(_listed, "path string, chunk int, member int")
+    return listed.repartition(partitions(spark), "path", "chunk").mapInPandas(_members, "file_key string, source_path string, content string, status string")
 
 
 def drop_loaded(files: DataFrame, loaded: DataFrame | None = None) -> DataFrame:
-    """Files loaded before (by key), or repeated here, get status duplicate and lose their content."""
-    first = files.dropDuplicates(["file_key"])
+    """Files loaded before (by key), or repeated here, get status duplicate and lose their content.
+
+    Of the readable files of one key one stays loaded; unreadable ones stay invalid, each time. Repeats are counted per
+    key, combined on the map side, so a key that fills the table isn't brought together.
+    """
+    per = files.groupBy("file_key", "source_path", "status").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("content"))
     if loaded is None:
-        return first
-    known = loaded.select("file_key").distinct().withColumn("__known", F.lit(True))
-    joined = first.join(known, "file_key", "left")
-    again = F.col("__known") & (F.col("status") == LOADED)
-    return joined.select("file_key", "source_path", F.when(again, F.lit(None)).otherwise(F.col("content")).alias("content"), F.when(again, DUPLICATE).otherwise(F.col("status")).alias("status"))
+        marked = per.withColumn("known", F.lit(False))
+    else:
+        known = loaded.where(F.col("status") == LOADED).select("file_key").distinct().withColumn("known", F.lit(True))
+        marked = per.join(known, "file_key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    new = (F.col("status") == LOADED) & ~F.col("known")
+    first = marked.where(new).select(*FILE_COLUMNS)
+    more = F.when(new, F.col("n") - 1).otherwise(F.col("n"))
+    repeated = marked.withColumn("more", more).where(F.col("more") > 0).select("file_key", "source_path", "status", F.explode(F.sequence(F.lit(1), F.col("more"))))
+    status = F.when(F.col("status") == LOADED, DUPLICATE).otherwise(F.col("status"))
+    return first.unionByName(repeated.select("file_key", "source_path", F.lit(None).cast("string").alias("content"), status.alias("status")))
 
 
 def load_stats(files: DataFrame) -> DataFrame:

@@ -4,48 +4,78 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import search
+from textloom.session import partitions
 
-VERSION = 1
+VERSION = 2
+#: Sentences a folder of the stored table, which is divided by ranges of ids.
+PART_ROWS = 1 << 18
 
 
-def fingerprint(path: str) -> str:
-    """md5 of name, size and modification time of a source file."""
-    s = os.stat(path)
-    return hashlib.md5(f"{os.path.basename(path)}:{s.st_size}:{int(s.st_mtime)}".encode()).hexdigest()
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """md5 of name, size and modification time of a source file, in whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    return hashlib.md5(f"{where.getName()}:{status.getLen()}:{status.getModificationTime() // 1000}".encode()).hexdigest()
+
+
+def check_sentences(sentences: DataFrame) -> DataFrame:
+    """`sentences`, or ValueError if ids are missing or not unique: a second sentence of one id would be searched under a wrong text."""
+    bad = sentences.groupBy("sentence_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("sentence_id").isNull() | (F.col("n") > 1)).limit(1).collect()
+    if bad:
+        raise ValueError(f"sentence_id {bad[0]['sentence_id']} stands {bad[0]['n']} times")
+    return sentences
 
 
 def save_index(sentences: DataFrame, path: str, sizes: list[int], source_fingerprint: str = "") -> None:
-    """Writes sentences, postings (partitioned by gram size, clustered by gram) and seed frequencies; the description last, so a broken run leaves no valid index."""
+    """Writes sentences, postings and seed frequencies; the description last, so a broken run leaves no valid index.
+
+    Postings are sorted by gram and sentence and split into files by ranges of both: a gram with a large share of the
+    postings is written by several tasks, and a reader of few grams skips the other files, row groups and pages.
+    Frequencies are counted from the grams themselves, combined on the map side. Ids must be unique.
+    """
+    if not sizes or min(sizes) < 1:
+        raise ValueError("gram sizes are positive")
+    sizes = sorted(set(sizes))
     spark = sentences.sparkSession
-    base = sentences.select("sentence_id", F.col("normalized_text").alias("n"))
-    sentences.write.mode("overwrite").parquet(f"{path}/sentences")
-    postings = search.postings(base, sizes)
-    postings.repartition("gram_size", "gram").sortWithinPartitions("gram_size", "gram").write.mode("overwrite").partitionBy("gram_size").parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("gram_size", "gram").agg(F.count(F.lit(1)).alias("frequency")).write.mode("overwrite").partitionBy("gram_size").parquet(f"{path}/frequencies")
-    meta = json.dumps({"version": VERSION, "sizes": sorted(sizes), "fingerprint": source_fingerprint})
+    base = check_sentences(sentences).select("sentence_id", F.col("normalized_text").alias("n"))
+    ids = sentences.agg(F.min("sentence_id").alias("low"), F.max("sentence_id").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    low, high, parts = ids["low"] or 0, ids["high"] or 0, max(1, -(-ids["n"] // PART_ROWS))
+    part = F.floor((F.col("sentence_id").cast("decimal(38,0)") - low) * parts / (high - low + 1)).cast("long")
+    placed = sentences.withColumn("part", part).repartitionByRange("sentence_id").sortWithinPartitions("part", "sentence_id")
+    placed.write.mode("overwrite").partitionBy("part").parquet(f"{path}/sentences")
+    order = ["gram_size", "gram", "sentence_id"]
+    postings = search.postings(base, sizes).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "position")
+    postings.write.mode("overwrite").option("parquet.page.size", 64 << 10).option("parquet.block.size", 16 << 20).partitionBy("gram_size").parquet(f"{path}/postings")
+    counted = search.seed_frequency(base, sizes).repartitionByRange("gram_size", "gram").sortWithinPartitions("gram_size", "gram")
+    counted.write.mode("overwrite").option("parquet.page.size", 64 << 10).partitionBy("gram_size").parquet(f"{path}/frequencies")
+    meta = json.dumps({"version": VERSION, "sizes": sizes, "fingerprint": source_fingerprint, "layout": [low, high, parts]})
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/description")
 
 
-def index_is_valid(spark: SparkSession, path: str, sizes: list[int], source_fingerprint: str = "") -> bool:
-    """True if an index of this version, these gram sizes and this source lies at `path`."""
+def _description(spark: SparkSession, path: str) -> dict:
     try:
-        meta = json.loads(spark.read.text(f"{path}/description").first()["value"])
+        return json.loads(spark.read.text(f"{path}/description").first()["value"])
     except Exception:  # noqa: BLE001 - any unreadable description means there is no index
-        return False
-    return meta == {"version": VERSION, "sizes": sorted(sizes), "fingerprint": source_fingerprint}
+        return {}
+
+
+def index_is_valid(spark: SparkSession, path: str, sizes: list[int], source_fingerprint: str = "") -> bool:
+    """True if an index of this version, these gram sizes and this source lies at `path`."""
+    meta = _description(spark, path)
+    return {k: meta.get(k) for k in ("version", "sizes", "fingerprint")} == {"version": VERSION, "sizes": sorted(sizes), "fingerprint": source_fingerprint}
 
 
-def load_index(spark: SparkSession, path: str, sizes: list[int], source_fingerprint: str = "") -> dict[str, DataFrame]:
-    """sentences, postings and frequencies of a valid index; ValueError otherwise, also for sizes that aren't indexed."""
+def load_index(spark: SparkSession, path: str, sizes: list[int], source_fingerprint: str = "") -> dict:
+    """sentences, postings and frequencies of a valid index, and its layout; ValueError otherwise, also for sizes that aren't indexed."""
     if not index_is_valid(spark, path, sizes, source_fingerprint):
         raise ValueError(f"no index of version {VERSION} with gram sizes {sizes} and this fingerprint at {path}")
-    return {t: spark.read.parquet(f"{path}/{t}") for t in ("sentences", "postings", "frequencies")}
+    tables = {t: spark.read.parquet(f"{path}/{t}") for t in ("sentences", "postings", "frequencies")}
+    return {**tables, "layout": tuple(_description(spark, path)["layout"])}
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -61,11 +91,11 @@ def write_query_csv(df: DataFrame, path: str) -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
-def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A report table; `limit` bounds what the driver formats and is the report's length."""
-    rows = df.limit(limit).collect()
+def markdown_table(df: DataFrame) -> str:
+    """A report table of all rows of `df`, which should be a summary: the driver formats them one at a time."""
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     head = f"| {' | '.join(df.columns)} |\n|{'-|' * len(df.columns)}"
-    return "\n".join([head, *(f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in rows)])
+    return "\n".join([head, *(f"| {' | '.join(map(cell, r))} |" for r in df.toLocalIterator())])
 
 
 def pending(queries: DataFrame, done: DataFrame) -> DataFrame:
