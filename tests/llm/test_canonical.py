@@ -58,3 +58,38 @@ def test_pairs_equal_brute_force(spark):
     want = {(a, b) for a, x in rows for b, y in rows if a < b and x != y and canonical.skeleton(x) == canonical.skeleton(y)}
     got = [tuple(r) for r in canonical.same_look_pairs(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_longer_keys_come_first():
+    same = [("\u1100\u1161\u11a8", "\uac01"), ("\u1100\u1161", "\uac00"), ("\uac00\u11a8", "\uac01"), ("\u1112\u1161\u11ab\u1100\u1173\u11af", "한글"), ("e\u200b\u0301", "é"), ("ﬁ\u0301", "fí"), ("\u2f00", "一"), ("\U0002f800", "丽"), ("ＡＢé", "ABe\u0301"), ("ᎪᏴ", "AB"), ("ｶﾞ", "ガ"), ("ﾊﾟ", "パ")]
+    for a, b in same:
+        assert canonical.skeleton(a) == canonical.skeleton(b), (a, b)
+        assert canonical.skeleton(canonical.skeleton(a)) == canonical.skeleton(a)
+
+
+def test_joined_pictures_are_not_their_parts():
+    family, parts = "👩\u200d👩\u200d👧", "👩👩👧"
+    assert canonical.skeleton(family) == family != canonical.skeleton(parts)
+    assert canonical.skeleton("a\u200db") == "ab"
+
+
+def test_one_pass_equals_the_rules_one_by_one():
+    import random
+    import unicodedata
+
+    pick = random.Random(5)
+    alphabet = "abé \u0301\u0308\u200b\u00a0ﬁＡаеｶﾞ\u3000\u00adöｅ"
+    for _ in range(3000):
+        text = "a" + "".join(pick.choice(alphabet) for _ in range(9))
+        want = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(canonical.mapping())).translate(canonical.mapping()).rstrip(" ")
+        assert canonical.skeleton(text) == want, ascii(text)
+
+
+def test_classes_and_hot_pairs(spark):
+    rows = ["a line"] * 60 + ["а line"] * 50 + ["\u200ba line", "other", None, "", "alone"] + ["other"] * 3
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string").repartition(3)
+    got = {(r["id"], r["class_id"], r["n_links"]) for r in canonical.same_look_classes(df, "id", "text").collect()}
+    assert got == {(i, 0, 51) for i in range(60)} | {(i, 0, 61) for i in range(60, 110)} | {(110, 0, 110)}
+    pairs = {(r["id_a"], r["id_b"]) for r in canonical.same_look_pairs(df, "id", "text").collect()}
+    assert len(pairs) == 60 * 50 + 110 and all(a < b and rows[a] != rows[b] for a, b in pairs)
+    assert canonical.same_look_classes(df.limit(0), "id", "text").count() == 0

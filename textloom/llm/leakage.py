@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.canonical import _CLUSTER, _HAS_MARK, _cluster, mapping
+from textloom.llm.canonical import _MARKED, _MARKS, _form, mapping
 from textloom.session import spread
 
 #: Characters of item text that one block, and so one broadcast, holds at most (unless a single item is longer).
@@ -49,6 +49,7 @@ def mapping_of(text: str) -> str:
     return text if text.isascii() else text.translate(mapping())
 
 
+_HAS_MARK, _CLUSTER = re.compile(f"[{_MARKS}]"), re.compile(_MARKED, re.S)
 _OTHER = re.compile(r"[^\x00-\x7f]+")
 _ASCII_PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~]+")
 
@@ -64,7 +65,7 @@ def words_of(text: str | None) -> list[str]:
         return []
     if not text.isascii():
         if _HAS_MARK.search(text):
-            text = _CLUSTER.sub(lambda m: _cluster(m.group()), text)
+            text = _CLUSTER.sub(lambda m: _form(m.group()), text)
         text = _OTHER.sub(lambda m: _other(m.group()), text)
     return _ASCII_PUNCTUATION.sub("", text.lower()).split()
 

@@ -32,6 +32,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("sentence_id_a"), F.col("id_b").alias("sentence_id_b"))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows with a look-alike of another text, by class."""
+    return canonical.same_look_classes(table(spark, folder, "prepared_sentences"), "sentence_id", "original_text")
+
+
 def p2_consistent_text(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "prepared_sentences")
     return rows.select("sentence_id", canonical.canonical_column(F.col("original_text")).alias("consistent_text"), canonical.canonical_column(F.col("normalized_text")).alias("consistent_normalized"))
@@ -82,7 +87,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (p1_found, p1_frequencies, p2_found, p2_consistent_text, p4_found, p4_repaired, p5_found, p5_top_records, p6_packed, p7_found, p7_leaks, p8_found, p8_truncated, p8_rates)
+        for f in (p1_found, p1_frequencies, p2_found, p2_classes, p2_consistent_text, p4_found, p4_repaired, p5_found, p5_top_records, p6_packed, p7_found, p7_leaks, p8_found, p8_truncated, p8_rates)
     }
 
 

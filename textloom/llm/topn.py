@@ -28,9 +28,11 @@ def top_n_per_group(df: DataFrame, group: str, item: Sequence[str], score: str,
         raise ValueError("n and salts are 1 or more")
     cols = {c: f"__i{k}" for k, c in enumerate(item)}
     rows = df.where(F.col(group).isNotNull() & F.col(score).isNotNull()).select(F.col(group).alias("__g"), F.col(score).alias("__s"), *[F.col(c).alias(a) for c, a in cols.items()])
-    best = rows.groupBy("__g", *cols.values()).agg(F.max("__s").alias("__s"))
+    # The subgroup is a function of the item, so one exchange serves both the highest score and the first ranking.
+    subgroup = F.pmod(F.xxhash64(*cols.values()), F.lit(salts)).cast("int")
+    dealt = rows.withColumn("__salt", subgroup).repartition("__g", "__salt")
+    salted = dealt.groupBy("__g", "__salt", *cols.values()).agg(F.max("__s").alias("__s"))
     order = [F.col("__s").desc(), *[F.col(a).asc_nulls_first() for a in cols.values()]]
-    salted = best.withColumn("__salt", F.pmod(F.xxhash64(*cols.values()), F.lit(salts)))
     kept = salted.withColumn("__r", F.row_number().over(W.partitionBy("__g", "__salt").orderBy(*order))).where(F.col("__r") <= n)
     final = kept.drop("__r", "__salt").withColumn("__r", F.row_number().over(W.partitionBy("__g").orderBy(*order))).where(F.col("__r") <= n)
     return final.select(F.col("__g").alias(group), *[F.col(a).alias(c) for c, a in cols.items()], F.col("__s").alias(score), F.col("__r").alias("rank"))
