@@ -251,6 +251,8 @@ class Model:
         self.memo: dict[tuple, Found | None] = {}
         self.known: dict[object, float] = {}
         self.number: dict[str, int] = {}
+        self.present: set[str] = set()
+        self.absent: set[str] = set()
         self.tried: dict[str, list[tuple[str, str]]] = {}
 
     @classmethod
@@ -297,6 +299,12 @@ class Model:
         grams = (text[i : i + 3] for i in range(len(text) - 2))
         return all(self.count(g) > (g in own) for g in grams if not g.isascii())
 
+    def _there(self, text: str) -> bool:
+        """`met` of a text with lost characters left out, by sets of known characters."""
+        for c in set(text) - self.present - self.absent:
+            (self.present if c == "\ufffd" or self.count(c) else self.absent).add(c)
+        return self.absent.isdisjoint(text)
+
     def candidates(self, run: str) -> list[tuple[str, str]]:
         """Repaired run, chain: of characters that clean lines hold, or of new ones that a whole run of UTF-8 spells."""
         if run not in self.tried:
@@ -323,15 +331,17 @@ class Model:
                 if fixed not in seen:
                     seen.add(fixed)
                     other.append((fixed, f"{chain} {how}".strip()))
+        lead, more = _masks()
         for text, chain in other:
-            if " " not in chain and len(text) > 1:  # a run was read wrongly as a whole, and begins where a sequence does
+            # A run was read wrongly as a whole, and begins where a sequence does.
+            if len(text) > 1 and lead.get(text[0], 0) & more.get(text[1], 0) and " " not in chain:
                 for fixed, how in _utf8_steps(text, True):
                     if fixed not in seen:
                         seen.add(fixed)
                         utf8.append((fixed, f"{chain} {how}"))
         new = {text for text, chain in spelt if len(text) * 2 <= len(run) and _is_text(text)}
         for text, chain in (*utf8, *other):
-            if text in new or self.met(text.replace("\ufffd", "")):
+            if text in new or self._there(text):
                 yield text, chain
 
     def place(self, before: str, run: str, after: str, trained: bool = False) -> Found | None:
