@@ -61,6 +61,11 @@ def even_slice(df: DataFrame, row_id: str, wanted: int) -> DataFrame:
     return numbered.join(F.broadcast(spark.createDataFrame([(p,) for p in sorted(set(places))], "__n long")), "__n").drop("__n")
 
 
+def number(key: Column) -> Column:
+    """A number of 32 bits that looks random, the same in any SQL engine with md5."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def _row(q: Column, category: str, mutation: str | None, sentence: str = "sentence_id", start: Column | None = None) -> list[Column]:
     return [q.alias("q"), F.lit(category).alias("category"), F.lit(mutation).cast("string").alias("mutation_type"), F.col(sentence).alias("source_sentence_id"), (F.lit(0) if start is None else start).cast("int").alias("source_start")]
 
@@ -69,11 +74,16 @@ def _few(df: DataFrame, key: Column, n: int, seed: int) -> DataFrame:
     return df.orderBy(draw(key, seed), key).limit(n)
 
 
+# The categories of a generated workload, as the tables name them; and what a query that matches nothing is.
+EXACT, WHOLE, INSIDE, CROSS, START, END, NEAR, NONE = "exact", "whole_word", "inside_word", "cross_word", "boundary_near_start", "boundary_near_end", "near_miss", "no_match"
+DERIVED = "real_derived_no_match"
+
+
 def generate(sentences: DataFrame, per_category: int = 50, seed: int = SEED) -> DataFrame:
     """A workload from `sentence_id, n`: `query_id, query_text, query_length, length_bucket, primary_category, categories, mutation_type, source_sentence_id, source_start`.
 
     Substrings of lengths 1 to 6, whole words, pieces inside words, pieces across words, both ends of sentences, the
-    three one-edit mutations, and words that occur nowhere. Equal queries are merged, with all their categories.
+    three one-edit mutations, the grams at the percentiles of frequency, and words that occur nowhere. Equal queries are merged, with all their categories.
     """
     rows = sentences.where(F.length("n") > 0)
     places = search.words(rows)
@@ -81,27 +91,29 @@ def generate(sentences: DataFrame, per_category: int = 50, seed: int = SEED) ->
     w, n = F.col("word"), F.col("n")
     parts = []
     for size in range(1, 7):
-        start = F.pmod(F.crc32(F.concat_ws(":", F.lit(seed), F.lit(size), F.col("sentence_id").cast("string")).cast("binary")), F.length("n") - size + 1).cast("int")
+        start = (number(F.concat_ws(":", F.lit(str(seed)), F.lit(str(size)), F.col("sentence_id").cast("string"))) % (F.length("n") - size + 1)).cast("int")
         made = rows.where(F.length("n") >= size).withColumn("start", start).withColumn("q", F.substring("n", F.col("start") + 1, F.lit(size))).where(F.trim("q") == F.col("q"))
-        parts.append(_few(made, F.col("sentence_id"), per_category, seed + size).select(*_row(F.col("q"), "exact", None, start=F.col("start"))))
+        parts.append(_few(made, F.col("sentence_id"), per_category, seed + size).select(*_row(F.col("q"), EXACT, None, start=F.col("start"))))
     for category, words_, q in (
-        ("whole_word", distinct_words.where(F.length("word") >= 2), w),
-        ("inside_word", distinct_words.where(F.length("word") >= 7), F.substring("word", 2, F.least(F.lit(8), F.length("word") - 2))),
+        (WHOLE, distinct_words.where(F.length("word") >= 2), w),
+        (INSIDE, distinct_words.where(F.length("word") >= 7), F.substring("word", 2, F.least(F.lit(8), F.length("word") - 2))),
     ):
-        parts.append(_few(words_, w, per_category, seed + 10).select(*_row(q, category, None, start=F.col("start_pos") + (0 if category == "whole_word" else 1))))
+        parts.append(_few(words_, w, per_category, seed + 10).select(*_row(q, category, None, start=F.col("start_pos") + (0 if category == WHOLE else 1))))
     first_gap = F.instr("n", " ")
     spaced = rows.where(first_gap > 0)
     begin = F.greatest(F.lit(1), first_gap - 4)
-    parts.append(_few(spaced, F.col("sentence_id"), per_category, seed + 20).select(*_row(F.trim(F.substring("n", begin, first_gap + 5 - begin + 1)), "cross_word", None, start=begin - 1)))
+    parts.append(_few(spaced, F.col("sentence_id"), per_category, seed + 20).select(*_row(F.trim(F.substring("n", begin, first_gap + 5 - begin + 1)), CROSS, None, start=begin - 1)))
     long = rows.where(F.length("n") >= 6)
-    parts.append(_few(long, F.col("sentence_id"), per_category, seed + 21).select(*_row(F.trim(F.left(n, F.lit(12))), "boundary_near_start", None)))
-    parts.append(_few(long, F.col("sentence_id"), per_category, seed + 22).select(*_row(F.trim(F.right(n, F.lit(12))), "boundary_near_end", None, start=F.greatest(F.lit(0), F.length("n") - 12))))
+    parts.append(_few(long, F.col("sentence_id"), per_category, seed + 21).select(*_row(F.trim(F.left(n, F.lit(12))), START, None)))
+    parts.append(_few(long, F.col("sentence_id"), per_category, seed + 22).select(*_row(F.trim(F.right(n, F.lit(12))), END, None, start=F.greatest(F.lit(0), F.length("n") - 12))))
     mutable = _few(distinct_words.where(F.length("word") >= 6), w, per_category, seed + 30)
-    at = (1 + F.pmod(F.crc32(w.cast("binary")), F.length("word") - 2)).cast("int")
+    at = (1 + number(w) % (F.length("word") - 2)).cast("int")
     mutated = mutable.select("sentence_id", "start_pos", F.inline(tx.mutations(w, at)))
-    parts.append(mutated.select(F.col("text").alias("q"), F.lit("near_miss").alias("category"), F.col("mutation").alias("mutation_type"), F.col("sentence_id").alias("source_sentence_id"), F.col("start_pos").alias("source_start")))
-    absent = _few(distinct_words, w, per_category, seed + 40).withColumn("q", F.concat("word", F.lit("zz"), F.hex(F.crc32(w.cast("binary")) % 4096))).join(distinct_words.select(F.col("word").alias("q")), "q", "left_anti")
-    parts.append(absent.select(*_row(F.lower("q"), "no_match", "real_derived_no_match", start=F.col("start_pos"))))
+    parts.append(mutated.select(F.col("text").alias("q"), F.lit(NEAR).alias("category"), F.col("mutation").alias("mutation_type"), F.col("sentence_id").alias("source_sentence_id"), F.col("start_pos").alias("source_start")))
+    absent = _few(distinct_words, w, per_category, seed + 40).withColumn("q", F.concat("word", F.lit("zz"), F.left(F.md5(w.cast("binary")), F.lit(3)))).join(distinct_words.select(F.col("word").alias("q")), "q", "left_anti")
+    probes = frequency_probes(rows)
+    parts.append(probes.select(F.col("gram").alias("q"), F.concat(F.lit("frequency_"), F.col("frequency_band")).alias("category"), F.lit(None).cast("string").alias("mutation_type"), F.lit(None).cast("long").alias("source_sentence_id"), F.lit(None).cast("int").alias("source_start")))
+    parts.append(absent.select(*_row(F.lower("q"), NONE, DERIVED, start=F.col("start_pos"))))
     drafts = parts[0]
     for p in parts[1:]:
         drafts = drafts.unionByName(p)

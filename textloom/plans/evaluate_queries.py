@@ -15,6 +15,7 @@ from textloom.plans.search_sql import ASKED, CORPUS, FOUND, GRAMS, PAIRS, SEARCH
 from textloom.session import table
 
 SIZES = [1, 2, 3]
+PER_CATEGORY = 50
 
 
 def corpus_stats(spark, folder):
@@ -177,7 +178,7 @@ def execution_subset(spark, folder):
 
 
 def generated_workload(spark, folder):
-    return workload.generate(sentences(spark, folder))
+    return workload.generate(sentences(spark, folder), PER_CATEGORY).withColumn("categories", F.array_join("categories", "|"))
 
 
 def synthetic_corpora(spark, folder):
@@ -225,7 +226,51 @@ _SYNTHETIC = "with i as (select unnest(generate_series(0, 299)) as id), " + SEAR
     "contains(n, substring(q, m // 2 + 1))),", "contains(n, substring(q, m // 2 + 1)))),"
 ) + " select query_id, count(*) as matches from e group by query_id"
 
+_SEED = workload.SEED
+
+
+def _few(source: str, where: str, key: str, seed: int) -> str:
+    return f"(select * from {source} where {where} order by md5('{seed}:' || {key}), {key} limit {PER_CATEGORY}) t"
+
+
+def _number(key: str) -> str:
+    return f"cast('0x' || left(md5({key}), 8) as bigint)"
+
+
+def _generated() -> str:
+    """Drafts of each category, merged by text."""
+    row = "select {q} as q, '{category}' as category, {mutation} as mutation_type, sentence_id, cast({start} as int) as start from {source}"
+    make = lambda source, q, category, start, mutation="null::varchar": row.format(q=q, category=category, mutation=mutation, start=start, source=source)
+    parts = []
+    for size in range(1, 7):
+        cut = f"(select sentence_id, start, substring(n, start + 1, {size}) as q from (select *, {_number(f"'{_SEED}:{size}:' || sentence_id")} % (length(n) - {size} + 1) as start from s where length(n) >= {size}) a)"
+        parts.append(make(_few(cut, "trim(q) = q", "cast(sentence_id as varchar)", _SEED + size), "q", "exact", "start"))
+    parts.append(make(_few("d", "length(word) >= 2", "word", _SEED + 10), "word", "whole_word", "start_pos"))
+    parts.append(make(_few("d", "length(word) >= 7", "word", _SEED + 10), "substring(word, 2, least(8, length(word) - 2))", "inside_word", "start_pos + 1"))
+    begin = "greatest(1, strpos(n, ' ') - 4)"
+    parts.append(make(_few("s", "strpos(n, ' ') > 0", "cast(sentence_id as varchar)", _SEED + 20), f"trim(substring(n, {begin}, strpos(n, ' ') + 6 - {begin}))", "cross_word", f"{begin} - 1"))
+    parts.append(make(_few("s", "length(n) >= 6", "cast(sentence_id as varchar)", _SEED + 21), "trim(left(n, 12))", "boundary_near_start", "0"))
+    parts.append(make(_few("s", "length(n) >= 6", "cast(sentence_id as varchar)", _SEED + 22), "trim(right(n, 12))", "boundary_near_end", "greatest(0, length(n) - 12)"))
+    mutable = f"(select *, 1 + {_number('word')} % (length(word) - 2) as i from {_few('d', 'length(word) >= 6', 'word', _SEED + 30)}) t"
+    for kind, q in (("replacement", "left(word, i) || case when substring(word, i + 1, 1) = 'x' then 'z' else 'x' end || substring(word, i + 2)"), ("missing_character", "left(word, i) || substring(word, i + 2)"), ("extra_character", "left(word, i) || 'x' || substring(word, i + 1)")):
+        parts.append(make(mutable, q, "near_miss", "start_pos", f"'{kind}'"))
+    parts.append("select gram, 'frequency_' || frequency_band, null, null, null from p")
+    absent = f"(select *, word || 'zz' || left(md5(word), 3) as q from {_few('d', 'true', 'word', _SEED + 40)}) t where q not in (select word from d)"
+    parts.append(make(absent, "lower(q)", "no_match", "start_pos", "'real_derived_no_match'"))
+    bands = " union all ".join(f"select 'p{p}' as frequency_band, {_disc('frequency', p)} as frequency from h" for p in (50, 75, 90, 95, 99))
+    ladder = "case when length(q) <= 6 then cast(length(q) as varchar) when length(q) <= 8 then '7-8' when length(q) <= 12 then '9-12' when length(q) <= 20 then '13-20' else '21+' end"
+    return f"""with {CORPUS}, {WORDS}, d as (select word, min(sentence_id) as sentence_id, arg_min(start_pos, (sentence_id, start_pos)) as start_pos from w where word <> '' group by word),
+h as (select substring(n, i + 1, 3) as gram, count(*) as frequency from s, unnest(generate_series(0, length(n) - 3)) u(i) where length(n) >= 3 group by 1),
+b as ({bands} union all select 'rare', min(frequency) from h), p as (select frequency_band, min(gram) as gram from b join h on h.frequency = b.frequency group by 1),
+x as ({" union all ".join(parts)}),
+y as (select *, (category, coalesce(mutation_type, ''), coalesce(sentence_id, -1), coalesce(start, -1)) as o from x where q <> '')
+select 'w' || left(md5(q), 10) as query_id, q as query_text, cast(length(q) as int) as query_length, {ladder} as length_bucket, min(category) as primary_category, string_agg(distinct category, '|' order by category) as categories,
+  case when bool_or(true) then list_extract(list(mutation_type order by o), 1) end as mutation_type, list_extract(list(sentence_id order by o), 1) as source_sentence_id, list_extract(list(start order by o), 1) as source_start
+from y group by q"""
+
+
 SQL = {
+    "generated_workload": _generated(),
     "corpus_stats": f"""with s as (select source_path, normalized_text as n, length(normalized_text) as len from prepared_sentences where normalized_text is not null),
 w as (select unnest(string_split(n, ' ')) as word from s)
 select count(distinct source_path) as files, count(*) as sentences, cast(sum(len) as bigint) as characters, (select count(*) from w where word <> '') as words, (select count(distinct word) from w where word <> '') as unique_words,
