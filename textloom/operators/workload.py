@@ -111,7 +111,7 @@ def generate(sentences: DataFrame, per_category: int = 50, seed: int = SEED) ->
     mutated = mutable.select("sentence_id", "start_pos", F.inline(tx.mutations(w, at)))
     parts.append(mutated.select(F.col("text").alias("q"), F.lit(NEAR).alias("category"), F.col("mutation").alias("mutation_type"), F.col("sentence_id").alias("source_sentence_id"), F.col("start_pos").alias("source_start")))
     absent = _few(distinct_words, w, per_category, seed + 40).withColumn("q", F.concat("word", F.lit("zz"), F.left(F.md5(w.cast("binary")), F.lit(3)))).join(distinct_words.select(F.col("word").alias("q")), "q", "left_anti")
-    probes = frequency_probes(rows)
+    probes = frequency_probes(rows).where(F.trim("gram") == F.col("gram"))
     parts.append(probes.select(F.col("gram").alias("q"), F.concat(F.lit("frequency_"), F.col("frequency_band")).alias("category"), F.lit(None).cast("string").alias("mutation_type"), F.lit(None).cast("long").alias("source_sentence_id"), F.lit(None).cast("int").alias("source_start")))
     parts.append(absent.select(*_row(F.lower("q"), NONE, DERIVED, start=F.col("start_pos"))))
     drafts = parts[0]

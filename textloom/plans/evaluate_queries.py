@@ -254,7 +254,7 @@ def _generated() -> str:
     mutable = f"(select *, 1 + {_number('word')} % (length(word) - 2) as i from {_few('d', 'length(word) >= 6', 'word', _SEED + 30)}) t"
     for kind, q in (("replacement", "left(word, i) || case when substring(word, i + 1, 1) = 'x' then 'z' else 'x' end || substring(word, i + 2)"), ("missing_character", "left(word, i) || substring(word, i + 2)"), ("extra_character", "left(word, i) || 'x' || substring(word, i + 1)")):
         parts.append(make(mutable, q, "near_miss", "start_pos", f"'{kind}'"))
-    parts.append("select gram, 'frequency_' || frequency_band, null, null, null from p")
+    parts.append("select gram, 'frequency_' || frequency_band, null, null, null from p where trim(gram) = gram")
     absent = f"(select *, word || 'zz' || left(md5(word), 3) as q from {_few('d', 'true', 'word', _SEED + 40)}) t where q not in (select word from d)"
     parts.append(make(absent, "lower(q)", "no_match", "start_pos", "'real_derived_no_match'"))
     bands = " union all ".join(f"select 'p{p}' as frequency_band, {_disc('frequency', p)} as frequency from h" for p in (50, 75, 90, 95, 99))
