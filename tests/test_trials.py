@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import evaluate, ranking, sampled, search, trials
-from textloom.sources import index_store
+from textloom.sources import index_store, reports
 
 TEXTS = ["the quiet ledger stores a meadow", "programming in python is orderly", "hello wonderful little world of ledgers", "a banana bandana repeats", "internationalization is long"]
 QUERIES = [("q1", "a", "short"), ("q2", "le", "short"), ("q3", "led", "short"), ("q4", "ledg", "cross_word"), ("q5", "a ban", "cross_word"), ("q6", "ledger", "exact"), ("q7", "repeets", "near_miss"), ("q8", "qqqqqq", "no_match")]
@@ -152,3 +154,89 @@ def test_real_workload_has_every_required_tag(corpus):
     for r in rows:
         if r["mutation"] == "exact":
             assert r["q"] in TEXTS[r["source_sentence_id"]]
+
+
+def test_a_run_is_written_whole_and_resumed(phase, queries, corpus, spark, tmp_path):
+    builds = trials.measure_builds({a: lambda path: spark.range(3).write.parquet(path) for a in trials.ALGORITHMS}, spark)
+    work = trials.work(queries, corpus)
+    stats = evaluate.corpus_stats(corpus.withColumn("source_path", F.lit("f")))
+    path = f"file://{tmp_path}/run"
+    for _ in range(2):  # the second run replaces the first
+        summary = reports.write_run(path, phase, queries, corpus, work, builds, stats)
+    there = {p.name for p in (tmp_path / "run").iterdir()}
+    assert there == {*(f"{t}.json" for t in reports.JSON_TABLES), reports.CSV_TABLE, reports.REPORT} and [p.name for p in tmp_path.iterdir()] == ["run"]
+    kept = json.loads(spark.read.text(f"{path}/summary.json").first()[0])
+    assert set(kept) == {*summary, "incomplete_because"} and kept["incomplete_because"] == ["hybrid differs from the oracle"]
+    assert "# Evaluation" in "\n".join(r[0] for r in spark.read.text(f"{path}/{reports.REPORT}").collect())
+    rates = {r["algorithm_id"]: r for r in trials.work_rates(work).collect()}
+    assert rates["naive"]["saved"] == 0 and 0 < rates["bi_anchor"]["fallback_rate"] < 1 and rates["bi_anchor"]["saved"] > 0
+
+    asked: list[int] = []
+
+    def run(todo):
+        asked.append(todo.count())
+        return todo.select("query_id", F.length("q").alias("n"))
+
+    store = f"file://{tmp_path}/done"
+    assert reports.resume(queries.limit(3), store, run).count() == 3
+    assert reports.resume(queries, store, run).count() == len(QUERIES) and asked == [3, len(QUERIES) - 3]
+    assert reports.resume(queries, store, run).count() == len(QUERIES) and len(asked) == 2
+
+    def broken(to):
+        spark.range(1).write.parquet(to)
+        raise OSError("disk full")
+
+    with pytest.raises(OSError):
+        reports.replace_atomically(spark, broken, store)
+    assert spark.read.parquet(store).count() == len(QUERIES)
+
+
+def test_structures_are_checked_and_pairs_complete(queries, corpus):
+    with pytest.raises(TypeError, match="sentences lack"):
+        search.search_naive(queries, corpus.drop("n"))
+    with pytest.raises(TypeError, match="queries lack"):
+        search.search_bi_anchor(queries.drop("q"), corpus)
+    rows = queries.select("query_id", F.lit("naive").alias("algorithm_id"))
+    assert evaluate.unexpected_pairs(rows, queries, ["naive"]).count() == 0
+    assert evaluate.unexpected_pairs(rows, queries.where("q <> 'a'"), ["naive"]).count() == 1 and evaluate.unexpected_pairs(rows, queries, ["other"]).count() == len(QUERIES)
+
+
+def test_module_level_completer(corpus, spark):
+    ranking._ENGINE.clear()
+    with pytest.raises(RuntimeError):
+        ranking.best_completions("ledger")
+    sentences = corpus.select("sentence_id", F.col("n").alias("original_text"), F.col("n").alias("normalized_text"), F.lit("f").alias("source_path"), F.lit(1).alias("line_no"))
+    ranking.init_completions(ranking.SearchEngine().build(sentences))
+    assert [r["completed_sentence"] for r in ranking.best_completions("Ledger,", 2)] == [TEXTS[2], TEXTS[0]] and ranking.best_completions("!!") == []
+
+
+def test_a_table_function_agrees_with_the_plan(queries, corpus, spark):
+    """The verifier as a Python UDTF, row by row: only a cross-check of the plan."""
+
+    class OneEdit:
+        def eval(self, q: str, t: str):
+            def compare_all(q, rest):
+                m = len(q)
+                t = rest[:m]
+                if len(t) == m:
+                    off = [i for i in range(m) if q[i] != t[i]]
+                    if not off:
+                        yield "exact", None, m
+                    elif len(off) == 1:
+                        yield "replacement", off[0], m - 1
+                if len(rest) > m:
+                    yield from (("insertion", i, m) for i in range(m + 1) if rest[:i] + rest[i + 1 : m + 1] == q)
+                if m > 1 and len(rest) >= m - 1:
+                    yield from (("deletion", i, m - 1) for i in range(m) if q[:i] + q[i + 1 :] == rest[: m - 1])
+
+            for start in range(len(t)):
+                for kind, index, correct in compare_all(q, t[start:]):
+                    yield start, kind, index, correct
+
+    spark.udtf.register("one_edit", F.udtf(OneEdit, returnType="match_start int, edit_type string, edit_index int, correct_characters int"))
+    queries.createOrReplaceTempView("uq")
+    corpus.createOrReplaceTempView("uc")
+    got = {tuple(r) for r in spark.sql("select query_id, sentence_id, m.* from uq, uc, lateral one_edit(q, n) m where length(q) > 2").collect()}
+    want = {tuple(r) for r in search.search_naive(queries.where("length(q) > 2"), corpus).select(search.MATCH_COLUMNS).collect()}
+    assert got == want and got
+

@@ -101,6 +101,13 @@ def missing_pairs(rows: DataFrame, queries: DataFrame, algorithms: list[str]) ->
     return wanted.join(rows.select("query_id", "algorithm_id").distinct(), ["query_id", "algorithm_id"], "left_anti")
 
 
+def unexpected_pairs(rows: DataFrame, queries: DataFrame, algorithms: list[str]) -> DataFrame:
+    """`query_id, algorithm_id` that an evaluation has and shouldn't have: of other queries or strategies."""
+    known = queries.select("query_id").distinct().withColumn("k", F.lit(True))
+    pairs = rows.select("query_id", "algorithm_id").distinct().join(known, "query_id", "left")
+    return pairs.where(F.col("k").isNull() | ~F.col("algorithm_id").isin(algorithms)).select("query_id", "algorithm_id")
+
+
 def signature(matches: DataFrame, columns: list[str]) -> DataFrame:
     """Per query_id an order-independent signature of a multiset: count, and sums of two 32-bit halves of an md5; null differs from the empty string."""
     keyed = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -88,3 +88,21 @@ class SearchEngine:
         if on_candidates:
             on_candidates(found)
         return top_k(best_per_record(found, self._built()), k)
+
+
+_ENGINE: dict[str, SearchEngine] = {}
+
+
+def init_completions(engine: SearchEngine) -> None:
+    """Names the built engine that `best_completions` asks."""
+    engine._built()
+    _ENGINE["default"] = engine
+
+
+def best_completions(prefix: str, k: int = 5) -> list[Row]:
+    """The k best completions of one typed prefix, as rows; RuntimeError before `init_completions`."""
+    if "default" not in _ENGINE:
+        raise RuntimeError("init_completions() comes first")
+    engine = _ENGINE["default"]
+    asked = engine._built().sparkSession.createDataFrame([("1", prefix)], "query_id string, prefix string")
+    return engine.complete(asked, k).orderBy("rank").collect()  # at most k rows

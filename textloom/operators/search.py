@@ -34,10 +34,17 @@ SHORT_WORD, HYBRID_CAP = 4, 2000
 MATCH_COLUMNS = ["query_id", "sentence_id", "match_start", "edit_type", "edit_index", "correct_characters"]
 
 
+def require(df: DataFrame, what: str, columns: set[str]) -> None:
+    """TypeError if a structure handed to a strategy isn't one it can search."""
+    if missing := columns - set(df.columns):
+        raise TypeError(f"{what} lack {sorted(missing)}")
+
+
 class Asked:
     """The queries that can match, their number, the length of the longest, and the blocks to broadcast them in."""
 
     def __init__(self, queries: DataFrame) -> None:
+        require(queries, "queries", {"query_id", "q"})
         self.rows = queries.where(F.length("q") > 0).select("query_id", "q")
         r = self.rows.agg(F.coalesce(F.sum(F.length("q") + 16), F.lit(0)).alias("s"), F.coalesce(F.max(F.length("q")), F.lit(1)).alias("m")).first()
         self.longest: int = r["m"]
@@ -54,6 +61,7 @@ def windows(sentences: DataFrame, reach: int, dealt: bool = True) -> DataFrame:
 
     `dealt`: a small table in few files is dealt out over all cores first.
     """
+    require(sentences, "sentences", {"sentence_id", "n"})
     rows = sentences.where("length(n) > 0").select("sentence_id", "n")
     rows = (spread(rows) if dealt else rows).selectExpr("sentence_id", "n", "length(n) as len")
     cut = rows.selectExpr("sentence_id", "n", "len", f"explode(sequence(0, len - 1, {WINDOW})) as at")

@@ -187,6 +187,16 @@ def work(queries: DataFrame, sentences: DataFrame, sizes: tuple[int, ...] = (1,
     return exhaustive.unionByName(qgram).unionByName(hybrid).unionByName(bi_anchor)
 
 
+def work_rates(work_rows: DataFrame) -> DataFrame:
+    """`algorithm_id, queries, fallback_rate, mean_seed_frequency, saved`: of all queries; `saved` is the share of exhaustive verifications left out."""
+    base = work_rows.where(F.col("algorithm_id") == ALGORITHMS[0]).select("query_id", F.col("verifier_calls").alias("all"))
+    rows = work_rows.join(base, "query_id")
+    seeds = (F.col("frequency_a") + F.col("frequency_b")) / 2
+    known = F.col("verifier_calls").isNotNull()
+    saved = 1 - F.sum(F.when(known, F.col("verifier_calls"))) / F.sum(F.when(known, F.col("all")))
+    return rows.groupBy("algorithm_id").agg(F.count(F.lit(1)).alias("queries"), F.avg(F.col("fallback").cast("int")).alias("fallback_rate"), F.avg(seeds).alias("mean_seed_frequency"), saved.alias("saved"))
+
+
 def timing_summary(timing: DataFrame) -> DataFrame:
     """`query_id, algorithm_id, min, median, mean, max, p95` of the raw samples, in ns; p95 is null below five samples."""
     long = timing.select("query_id", "algorithm_id", F.explode(F.col("raw_samples_ns").cast("array<double>")).alias("sample"))
@@ -356,6 +366,18 @@ def scaling_study(queries: DataFrame, sentences: DataFrame, percents: tuple[int,
     return queries.sparkSession.createDataFrame(rows, "percent int, sentences long, algorithm_id string, results long, run_ns long")
 
 
+def deep_studies(queries: DataFrame, sentences: DataFrame, repetitions: int = 3) -> dict[str, DataFrame]:
+    """Profile, growth with the corpus, gram sizes, and how far repeated runs agree."""
+    spark = queries.sparkSession
+    plans = {name: (lambda f=f: f(queries, sentences)) for name, f in ranking.STRATEGIES.items()}
+    repeated = run_search_phase(queries, sentences, {name: ranking.STRATEGIES[name] for name in ALGORITHMS}, repetitions)
+    spread = repeated.timing.select("algorithm_id", F.explode(F.col("raw_samples_ns").cast("array<double>")).alias("sample"))
+    return {
+        "profile": profile(plans, spark), "scaling": scaling_study(queries, sentences), "parameter": parameter_study(queries, sentences),
+        "repeatability": evaluate.latency_summary(spread, ["algorithm_id"], "sample").withColumn("variation", F.col("stdev") / F.col("mean")),
+    }
+
+
 def profile(scenarios: dict[str, Callable[[], DataFrame]], spark: SparkSession) -> DataFrame:
     """`scenario, phase, ns`: where the time of a plan goes: building it, planning it (Catalyst), running it."""
     rows = []

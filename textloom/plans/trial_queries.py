@@ -57,6 +57,10 @@ def trial_work(spark, folder):
     return trials.work(_searched(spark, folder), sentences(spark, folder))
 
 
+def work_rates(spark, folder):
+    return trials.work_rates(trial_work(spark, folder))
+
+
 def per_query_report(spark, folder):
     """The per-query report without its seven columns of time."""
     q, s = _about(spark, folder), sentences(spark, folder)
@@ -99,7 +103,7 @@ def scaling_study(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        short_workload, real_workload, first_by_source, trial_correctness, trial_by_result_bucket, trial_work, per_query_report, mismatch_classes, trial_scorecard, length_study, index_configurations,
+        short_workload, real_workload, first_by_source, trial_correctness, trial_by_result_bucket, trial_work, work_rates, per_query_report, mismatch_classes, trial_scorecard, length_study, index_configurations,
         parameter_study, scaling_study,
     )
 }
@@ -240,6 +244,8 @@ SQL = {
     "trial_by_result_bucket": f"""{_CORRECT} select algorithm_id, case when result_count = 0 then '0' when result_count <= 5 then '1-5' when result_count <= 20 then '6-20' when result_count <= 100 then '21-100' else '100+' end as result_bucket,
 count(*) as queries, cast(sum(case when correct then 0 else 1 end) as bigint) as wrong from c group by all""",
     "trial_work": f"{_WORKED.format(cand=_candidates())} select * from wk",
+    "work_rates": f"""{_WORKED.format(cand=_candidates())} select a.algorithm_id, count(*) as queries, avg(case when a.fallback then 1 else 0 end) as fallback_rate, avg((a.frequency_a + a.frequency_b) / 2) as mean_seed_frequency,
+1 - sum(a.verifier_calls) / cast(sum(case when a.verifier_calls is not null then b.verifier_calls end) as double) as saved from wk a join wk b on b.query_id = a.query_id and b.algorithm_id = 'naive' group by 1""",
     "mismatch_classes": f"""{_CORRECT}, {_ABOUT} select c.query_id, algorithm_id, case when length(ab.q) < 3 then 'short query' when list_contains(categories, 'cross_word') then 'across words'
 when list_contains(categories, 'repeated_characters') or list_contains(categories, 'repeated') then 'repeated characters' when false_negatives > 0 and false_positives = 0 then 'missed candidates' when false_positives > 0 and false_negatives = 0 then 'other reading of the edit' else 'other' end as mismatch
 from c join ab using (query_id) where not correct""",

@@ -24,7 +24,10 @@ def session_prefixes(lines: DataFrame) -> DataFrame:
     return grouped.select("session", "turn", F.array_join(F.collect_list("line").over(within), " ").alias("prefix"))
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     prefix = state.get[0] if state.exists else ""
     rows = pd.concat(list(batches)).sort_values(["turn", "line"])
     out = []
@@ -36,14 +39,24 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             prefix = f"{prefix} {line}" if prefix else line
             out.append((key[0], turn, prefix))
     state.update((prefix,))
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(out, columns=["session", "turn", "prefix"])
 
 
-def stream_prefixes(lines: DataFrame) -> DataFrame:
-    """The same over a stream of `session string, turn long, line string`; the state is the session's prefix."""
+def stream_prefixes(lines: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The same over a stream of `session string, turn long, line string`; the state is the session's prefix.
+
+    A stream that runs on should name `idle_ms`, after which a session without a line is forgotten; a stream that is
+    run to its end (`availableNow`) can't, since waiting for idle sessions has no end.
+    """
     ship(lines.sparkSession)
     kept = lines.select(F.col("session").cast("string").alias("session"), F.col("turn").cast("long").alias("turn"), "line")
-    return kept.groupBy("session").applyInPandasWithState(_advance, "session string, turn long, prefix string", "prefix string", "append", GroupStateTimeout.NoTimeout)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from _advance(key, batches, state, idle_ms)
+
+    return kept.groupBy("session").applyInPandasWithState(advance, "session string, turn long, prefix string", "prefix string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def complete_stream(lines: DataFrame, complete: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):
