@@ -145,3 +145,26 @@ def test_hebrew_scores(spark):
     engine = ranking.SearchEngine("naive").build(spark.createDataFrame([(0, sentence, "להיות או לא להיות זאת השאלה", "a", 1)], "sentence_id long, original_text string, normalized_text string, source_path string, line_no int"))
     asked = spark.createDataFrame([("1", "להיות או לא"), ("2", "להיות או לו"), ("3", "להיןת או לא"), ("4", "להייות או לא"), ("5", "להות או לא")], "query_id string, prefix string")
     assert [r["score"] for r in engine.complete(asked).orderBy("query_id").collect()] == [22, 19, 18, 18, 14]
+
+
+def test_few_queries_are_matched_without_an_exchange(spark):
+    q, s = tables(spark, QUERIES, CORPUS)
+    for strategy in STRATEGIES:
+        plan = ranking.STRATEGIES[strategy](q, s)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "MapInArrow" in plan
+
+
+def test_every_split_finds_each_match_once():
+    import pyarrow as pa
+
+    from textloom.operators import scan
+
+    pick = random.Random(5)
+    for letters in ("a", "ab", "abcdé "):
+        text = lambda least, n: "".join(pick.choice(letters) for _ in range(pick.randint(least, n)))  # noqa: B023, E731
+        corpus, queries = [text(1, 14) for _ in range(30)], [text(1, 9) for _ in range(30)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array([0] * 30, pa.int32()), pa.array(corpus), pa.array([len(c) for c in corpus], pa.int32())], ["sentence_id", "at", "text", "starts"])
+        for make in (scan.halves, lambda q: scan.ends(q, len(q) // 2) if len(q) > 1 else scan.halves(q), lambda q: scan.anchors(q, 1, len(q) // 3, len(q) - 1) if len(q) > 2 else scan.halves(q)):
+            for indexed in (False, True):
+                got = [tuple(r.values()) for b in scan.listed(scan.Matcher([make(q) for q in queries], indexed), pa.array(range(30)), iter([batch])) for r in b.to_pylist()]
+                assert len(got) == len(set(got)) and set(got) == definition(list(enumerate(queries)), list(enumerate(corpus)))
