@@ -240,3 +240,25 @@ def test_a_table_function_agrees_with_the_plan(queries, corpus, spark):
     want = {tuple(r) for r in search.search_naive(queries.where("length(q) > 2"), corpus).select(search.MATCH_COLUMNS).collect()}
     assert got == want and got
 
+
+
+def test_a_phase_stores_no_matches(queries, corpus, spark, monkeypatch):
+    stored = []
+    kept = trials.cut
+    monkeypatch.setattr(trials, "cut", lambda df: stored.append(df.columns) or kept(df))
+    got = trials.run_search_phase(queries, corpus)
+    assert got.correctness.count() == 4 * len(QUERIES) and not any("match_start" in c for c in stored)
+    for name, rows in got.results.items():
+        want = {r["query_id"]: r for r in evaluate.compare_results(got.results["naive"], rows, search.MATCH_COLUMNS).collect()}
+        for r in got.correctness.where(F.col("algorithm_id") == name).collect():
+            w = want.get(r["query_id"])
+            assert (r["false_negatives"], r["false_positives"]) == ((w["false_negatives"], w["false_positives"]) if w else (0, 0))
+
+
+@pytest.mark.parametrize("keys", [0, 100])
+def test_comparison_of_multisets(spark, monkeypatch, keys):
+    monkeypatch.setattr(evaluate, "BROADCAST_KEYS", keys)
+    a = spark.createDataFrame([("x", 1, None), ("x", 1, None), ("x", 2, 5), ("y", 3, 1), ("w", 1, 1)], "query_id string, v int, z int")
+    b = spark.createDataFrame([("x", 1, None), ("x", 2, 6), ("z", 3, 1), ("y", 3, 1), ("y", 3, 1)], "query_id string, v int, z int")
+    got = {tuple(r) for r in evaluate.compare_results(a, b, ["query_id", "v", "z"]).collect()}
+    assert got == {("x", 2, 1, 1), ("y", 0, 1, 1), ("w", 1, 0, 0), ("z", 0, 1, 0)}
