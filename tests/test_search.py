@@ -168,3 +168,30 @@ def test_every_split_finds_each_match_once():
             for indexed in (False, True):
                 got = [tuple(r.values()) for b in scan.listed(scan.Matcher([make(q) for q in queries], indexed), pa.array(range(30)), iter([batch])) for r in b.to_pylist()]
                 assert len(got) == len(set(got)) and set(got) == definition(list(enumerate(queries)), list(enumerate(corpus)))
+
+
+LONG = ["aaaaaa " * 60, "alpha beta " * 80, "alpha", None, ""]
+
+
+def test_kinds_are_counted_without_their_matches(spark):
+    pick = random.Random(11)
+    corpus = CORPUS + LONG + ["".join(pick.choice("ab ") for _ in range(12)) for _ in range(40)]
+    q, s = tables(spark, QUERIES, corpus)
+    s = s.unionByName(s.limit(3)).unionByName(spark.createDataFrame([(None, "alpha beta")], s.schema)).repartition(3)
+    want = search.search_naive(q, s).groupBy("query_id", "edit_type").agg(F.count(F.lit(1)).alias("matches"), F.countDistinct("sentence_id").alias("n_sentences"))
+    got = search.count_kinds(q, s)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.schema.simpleString() == want.schema.simpleString()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum(matches" in plan and "match_start" not in plan
+
+
+def test_starts_are_counted_without_being_listed(spark):
+    pick = random.Random(13)
+    q, s = tables(spark, QUERIES + ["abab ", "aab"], CORPUS + LONG + ["".join(pick.choice("ab ") for _ in range(12)) for _ in range(40)])
+    asked = search.Asked(q)
+    plan = search.anchor_plan(search.anchor_pairs(search.query_seeds(q, s, [1, 2, 3])))
+    slices = search.context_slices(search.candidate_contexts(plan, s, [1, 2, 3]), s).cache()
+    want = {r["query_id"]: (r["a"], r["b"]) for r in slices.groupBy("query_id").agg(F.countDistinct("sentence_id", "match_start").alias("a"), F.count(F.lit(1)).alias("b")).collect()}
+    got = search.count_starts(plan, s, asked)
+    assert {r["query_id"]: (r["candidate_count"], r["calls"]) for r in got.collect()} == want
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
