@@ -195,3 +195,19 @@ def test_starts_are_counted_without_being_listed(spark):
     got = search.count_starts(plan, s, asked)
     assert {r["query_id"]: (r["candidate_count"], r["calls"]) for r in got.collect()} == want
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_records_are_found_in_place(spark):
+    pick = random.Random(17)
+    texts = [t for t in CORPUS + LONG if t] + ["".join(pick.choice("ab ") for _ in range(12)) for _ in range(30)]
+    made = [(i, None if i % 9 == 4 else t.upper(), t, pick.choice(["f", None]), pick.randint(1, 2)) for i, t in enumerate(texts * 4)] + [(None, "ALPHA", "alpha", "f", 1), (900, "X", None, "f", 1)]
+    pick.shuffle(made)
+    s = spark.createDataFrame(made, "sentence_id long, original_text string, normalized_text string, source_path string, line_no int").repartition(3)
+    q, _ = tables(spark, QUERIES, CORPUS)
+    n = s.withColumn("n", F.col("normalized_text"))
+    want = ranking.best_per_record(search.search_naive(q, n), s)
+    got = ranking.best_in_place(q, n)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and "match_start" not in got._jdf.queryExecution().executedPlan().toString()
+    for k in (1, 5):
+        assert sorted(map(str, ranking.top_k(ranking.best_in_place(q, n, k), k).collect())) == sorted(map(str, ranking.top_k(want, k).collect()))
+    assert ranking.best_in_place(q, n.unionByName(n.limit(3))) is None and ranking.best_in_place(q.limit(3), n) is None
