@@ -211,3 +211,26 @@ def test_best_records_are_found_in_place(spark):
     for k in (1, 5):
         assert sorted(map(str, ranking.top_k(ranking.best_in_place(q, n, k), k).collect())) == sorted(map(str, ranking.top_k(want, k).collect()))
     assert ranking.best_in_place(q, n.unionByName(n.limit(3))) is None and ranking.best_in_place(q.limit(3), n) is None
+
+
+def test_hybrid_joins_only_words_within_the_cap(spark):
+    q, s = tables(spark, ["a", "alpha", "hello", "bat", "hello"], CORPUS * 3 + ["alpha alphx aalpha hello hellp help"] * 3)
+    kinds = {"exact": 0, "replacement": 1, "insertion": 2, "deletion": 3}
+    texts = {r["sentence_id"]: r["n"] for r in s.collect()}
+    whole = search.search_hybrid(q, s, cap=10**6).collect()
+    for cap in (1, 2, 5, 7):
+        want = set()
+        for i in {r["query_id"] for r in whole}:
+            own = [r for r in whole if r["query_id"] == i]
+            own.sort(key=lambda r: (kinds[r["edit_type"]], texts[r["sentence_id"]][r["match_start"] :].split(" ")[0], r["sentence_id"], r["match_start"]))
+            want |= set(map(tuple, own[:cap]))
+        got = search.search_hybrid(q, s, cap=cap)
+        assert set(map(tuple, got.collect())) == want
+        assert "n_word" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matches_at_given_places(spark):
+    q, s = tables(spark, QUERIES, CORPUS + [t for t in LONG if t])
+    whole = search.search_naive(q, s)
+    some = whole.where("match_start % 3 = 0")
+    assert rows(search.matches_at(some.unionByName(some), q, s)) == rows(some)
