@@ -115,6 +115,59 @@ def test_stored_index(spark, tmp_path):
     assert rows(ranking.SearchEngine.from_index(index, [1, 2, 3]).raw_candidates(q)) == rows(search.search_naive(q, s))
 
 
+def test_stored_starts_stand_once_and_are_written_without_an_exchange(spark, tmp_path):
+    from textloom.sources import index_store
+
+    q, s = tables(spark, QUERIES, CORPUS + ["abcdé " * 90, "\U0001f600\U0001f601\U0001f600 x"])
+    table = s.select("sentence_id", F.col("n").alias("original_text"), F.col("n").alias("normalized_text"), F.lit("a").alias("source_path"), F.col("sentence_id").cast("int").alias("line_no"))
+    assert "hashpartitioning" not in (plan := search.posting_lists(s, [1, 2, 3])._jdf.queryExecution().executedPlan().toString()) and "rangepartitioning" not in plan
+    for sizes in ([1, 2, 3], [2, 5]):
+        path = str(tmp_path / f"index{len(sizes)}")
+        index_store.save_index(table, path, sizes)
+        index = index_store.load_index(spark, path, sizes)
+        ends = s.select(F.sum(F.greatest(F.length("n") - (min(sizes) - 1), F.lit(0)))).first()[0]
+        assert index["lists"].agg(F.sum("n")).first()[0] == ends
+        want = {tuple(r) for r in search.postings(s, sizes).collect()}
+        got = [tuple(r) for r in index["postings"].collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        some = {(size, gram) for size, gram, *_ in want if gram[0] in "ab\U0001f600"}
+        assert {tuple(r) for r in search._postings_of(index, some, sizes).collect()} == {r for r in want if r[:2] in some}
+
+
+@pytest.mark.parametrize("few", [0, 500])
+def test_a_stored_index_with_many_postings_is_matched_without_an_exchange(spark, tmp_path, monkeypatch, few):
+    from textloom.sources import index_store
+
+    q, s = tables(spark, QUERIES, CORPUS)
+    table = s.select("sentence_id", F.col("n").alias("original_text"), F.col("n").alias("normalized_text"), F.lit("a").alias("source_path"), F.col("sentence_id").cast("int").alias("line_no"))
+    index_store.save_index(table, str(tmp_path / "index"), [1, 2, 3])
+    index = index_store.load_index(spark, str(tmp_path / "index"), [1, 2, 3])
+    want = rows(search.search_naive(q, s))
+    monkeypatch.setattr(search, "FEW_QUERIES", few)
+    for starts, characters in ((0, 1), (0, 10**9), (10**9, 1)):
+        monkeypatch.setattr(search, "FEW_STARTS", starts)
+        got = ranking.SearchEngine.from_index(index | {"characters": characters}, [1, 2, 3]).raw_candidates(q)
+        assert rows(got) == want
+        if characters == 1 and not (few and starts):
+            assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_runs_are_sorted():
+    import pyarrow as pa
+
+    from textloom.operators import scan
+
+    pick = random.Random(23)
+    texts = ["".join(pick.choice("ab😀é ") for _ in range(pick.randint(1, 9))) for _ in range(60)]
+    ids = pick.sample(range(1000), 60)
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 20]), pa.array([0] * 20, pa.int32()), pa.array(texts[i : i + 20]), pa.array([len(t) for t in texts[i : i + 20]], pa.int32())], ["sentence_id", "at", "text", "starts"]) for i in (0, 20, 40)]
+    for longest, least in ((3, 1), (2, 2), (40, 3)):
+        (run,) = scan.runs(longest, least, iter(batches))
+        got = [(r["tail"], i, p) for r in run.to_pylist() for i, p in zip(r["sentence_ids"], r["positions"], strict=True)]
+        assert got == sorted((t[p : p + longest], i, p) for i, t in zip(ids, texts) for p in range(len(t)) if len(t) - p >= least)
+        assert run["tail"].to_pylist() == sorted(set(run["tail"].to_pylist())) and run["n"].to_pylist() == [len(x) for x in run["positions"].to_pylist()]
+
+
 def test_votes(spark):
     q, s = tables(spark, ["hello world", "zz"], CORPUS)
     votes = search.gram_votes(q, s)
