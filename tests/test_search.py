@@ -223,6 +223,25 @@ def test_every_split_finds_each_match_once():
                 assert len(got) == len(set(got)) and set(got) == definition(list(enumerate(queries)), list(enumerate(corpus)))
 
 
+def test_matches_are_handed_on_in_lists(spark, monkeypatch):
+    import pyarrow as pa
+
+    from textloom.operators import scan
+
+    q, s = tables(spark, QUERIES, CORPUS)
+    splits = search.halved(search.Asked(q))
+    assert splits.matcher.indexed and "match_starts" in search.search_naive(q, s)._jdf.queryExecution().executedPlan().toString()
+    assert ("a", None) in {(r["q"], r["sentence_id"]) for r in search.search_naive(q, s.union(spark.createDataFrame([(None, "a")], s.schema))).join(q, "query_id").collect()}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(CORPUS))), pa.array([0] * len(CORPUS), pa.int32()), pa.array(CORPUS), pa.array([len(c) for c in CORPUS], pa.int32())], ["sentence_id", "at", "text", "starts"])
+    want = definition(list(enumerate(QUERIES)), list(enumerate(CORPUS)))
+    for most in (100_000, 3):
+        monkeypatch.setattr(scan, "ROWS", most)
+        lists = [r for b in scan.grouped(splits.matcher, splits.ids, iter([batch])) for r in b.to_pylist()]
+        assert len(lists) < len(want) and max(len(r["match_starts"]) for r in lists) <= most
+        got = [(r["query_id"], i, p, r["edit_type"], r["edit_index"], r["correct_characters"]) for r in lists for i, p in zip(r["sentence_ids"], r["match_starts"], strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 LONG = ["aaaaaa " * 60, "alpha beta " * 80, "alpha", None, ""]
 
 
